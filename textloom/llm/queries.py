@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import fold, spread, table
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,62 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("group_bytes").withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """What op10 returns, read back from the formatted texts and the loss mask."""
+    import hashlib
+
+    import pyarrow as pa
+    from textloom.llm.chat import read_back, unescape
+
+    id_type = dict(formatted.dtypes)["conv_id"]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("formatted").to_pylist()
+            turns = [read_back(x) for x in texts]
+            loss = ["".join(unescape(x[s["start"] : s["end"]]) for s in spans) for x, spans in zip(texts, batch.column("loss_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id"),
+                    pa.array([len(t) for t in turns], pa.int64()),
+                    pa.array([hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest() for t in turns], pa.string()),
+                    pa.array([len(x) for x in loss], pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in loss], pa.string()),
+                    pa.array([len(x) for x in texts], pa.int64()),
+                    batch.column("rewrites_history"),
+                ],
+                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"],
+            )
+
+    return formatted.mapInArrow(
+        run,
+        f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean",
+    )
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.chat import format_conversations
+
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_digests(format_conversations(turns))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.langid import identify, learn
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = learn(docs.where(~held_out), F.col("lang"), F.col("text"), F.col("doc_id"))
+    out = identify(docs, model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op6_sharding": op6_sharding,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
