@@ -69,9 +69,62 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def contamination_digests(found: DataFrame) -> DataFrame:
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.decontaminate import contamination
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return contamination_digests(contamination(docs, table(spark, sf_dir, "benchmark"), window=10))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.rules import quality_rules
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    trusted = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    return quality_rules(docs, trusted)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.quality import learn, score_quality
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    out = score_quality(docs, learn(docs, labels))
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def tokenizer_paths() -> tuple[str, str, str]:
+    """Rank file, JSON file and pre-token pattern of the public byte-level vocabulary, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.packing import pack_documents
+
+    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_paths())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
+    "op8_quality_rules": op8_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
