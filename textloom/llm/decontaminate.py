@@ -27,7 +27,7 @@ def _windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataF
     return words.select("item", "all", F.explode(starts).alias("at")).select("item", F.slice("all", F.col("at"), F.lit(window)).alias("w")).distinct()
 
 
-def contamination(
+def found_windows(
     docs: DataFrame,
     items: DataFrame,
     window: int = 10,
@@ -38,7 +38,7 @@ def contamination(
     item_text_col: str = "text",
     broadcast_windows: int = 200_000,
 ) -> DataFrame:
-    """How much of each document stands in a benchmark: doc_id, text_hash, n_words, n_hit, items (sorted ids as text).
+    """d, t, n_hit, items of the documents that hold a window: id, xxhash64 of the text, words hit, sorted ids as text.
 
     A window is a set of word shingles. A document holds the window only if it holds every one of them, so one shingle
     is the necessary prefix: the rarest, by its count over all documents, ties by hash and place. Documents join the
@@ -47,9 +47,6 @@ def contamination(
     inside any occurrence count once.
 
     The index is broadcast up to ``broadcast_windows`` windows (about 200 bytes each) and joined by a shuffle beyond.
-    One row for each input row. Null and empty texts have no words and no hits; null or repeated ids are rows like any
-    other; items without words have no window; a null item id reads as an empty one; repeated items count once. Empty
-    tables give an empty result or no hits. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     windows = _windows(items, item_col, item_text_col, window).select("item", "w", F.least(F.size("w"), F.lit(shingle)).alias("g"))
@@ -100,6 +97,18 @@ def contamination(
         F.aggregate(F.sort_array(F.transform("c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), zero, step)["n"].alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("c", lambda x: x["item"]))).alias("items"),
     )
+    return spans
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """How much of each document stands in a benchmark: doc_id, text_hash, n_words, n_hit, items (sorted ids as text).
+
+    ``options`` are those of ``found_windows``. One row for each input row. Null and empty texts have no words and no
+    hits; null or repeated ids are rows like any other; items without words have no window; a null item id reads as an
+    empty one; repeated items count once. Empty tables give an empty result or no hits. Other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spans = found_windows(docs, items, id_col=id_col, text_col=text_col, **options)
     counted = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     return counted.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select(
         "doc_id",

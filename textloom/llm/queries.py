@@ -118,13 +118,46 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_paths())
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.neardup import near_duplicates
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(docs, shingle=2, threshold=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language_model import score_texts
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_texts(docs, fold(F.col("doc_id"), 5) == 1)
+
+
+def pii_digests(found: DataFrame) -> DataFrame:
+    """Counts of the fixed kinds and the hash of their list."""
+
+    def count(kind: str):
+        return F.size(F.filter(F.split("base", ","), lambda x: x.startswith(f"{kind}:"))).cast("long")
+
+    kinds = {f"n_{k}": count(k) for k in ("email", "ip", "card", "phone")}
+    return found.select("doc_id", *[c.alias(n) for n, c in kinds.items()], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.pii import detect
+
+    return pii_digests(detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
+    "op7_language_model": op7_language_model,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
