@@ -133,3 +133,20 @@ def test_graph(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == root
+
+
+def test_intersections_equal_brute_force():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 400, int(k), dtype=np.uint64)) for k in r.integers(1, 300, 30)]
+    got = neardup.common_counts(sets, chunk=64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
+    assert neardup.common_counts([np.array([1], np.uint64), np.array([2], np.uint64)]).sum() == 0
+
+
+def test_blocks_lose_no_link(spark):
+    docs = corpus(7, 200)
+    got = near_duplicates(spark.createDataFrame([(*d, "a", "b", "c") for d in docs], SCHEMA), shingle=2, block=2).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=order) == sorted(brute(docs, 2), key=order)

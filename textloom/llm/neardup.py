@@ -99,24 +99,31 @@ def _may_match(a: str, b: str, threshold: int) -> Column:
     return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (differ <= int(PERMUTATIONS - least))
 
 
+def _texts(ids: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of the classes in ids."""
+    wanted = reps.join(ids, "id").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.join(wanted, (F.col("text_hash") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"])
+
+
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in text_chunks(column):
+        yield from shingle_hashes(*word_hashes(data, offsets), shingle)
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Of the pairs (a, b) of class ids those whose full shingle sets reach the threshold."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = reps.join(ends, "id").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = written(
-        rows.join(wanted, (F.col("text_hash") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"]), "texts"
-    )
+    texts = written(_texts(ends, reps, docs, id_col, text_col), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in range(0, len(batch), 256):
                 part = batch.slice(step, 256)
-                sides = [[s for _, _, data, offsets in text_chunks(part.column(c)) for s in shingle_hashes(*word_hashes(data, offsets), shingle)] for c in ("x", "y")]
                 keep = []
-                for s, t in zip(*sides, strict=True):
+                for s, t in zip(*(_sets(part.column(c), shingle) for c in ("x", "y")), strict=True):
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(100 * common >= threshold * (len(s) + len(t) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -124,13 +131,85 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_counts(sets: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
+    """Exact sizes of all intersections, from products of 0/1 matrices over the values that two sets or more hold."""
+    n = len(sets)
+    found = np.zeros((n, n), np.float32)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    shared = counts[at] > 1
+    row, at = row[shared], column[at[shared]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, chunk):
+        a, b = np.searchsorted(at, [low, low + chunk])
+        m = np.zeros((n, chunk), np.float32)
+        m[row[a:b], at[a:b] - low] = 1
+        found += m @ m.T
+    return found.astype(np.int64)
+
+
+def _across(loose: DataFrame, sets: DataFrame, threshold: int, block: int, block_shingles: int = 1_000_000) -> DataFrame:
+    """Links between different components inside a bucket: a spanning set of them, never all pairs.
+
+    loose: bucket, n, weight, id, root. A bucket is dealt into blocks of about ``block`` members, and of no more than
+    about ``block_shingles`` shingles; each two blocks meet in one group, where exact intersections come from matrix
+    products. So a bucket of any size is covered, in bounded tasks.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / block_shingles)).cast("int")
+    own = F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int")
+    dealt = loose.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(sets, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots, own_ = (table.column(c).to_numpy() for c in ("id", "root", "own"))
+        out: list[tuple[int, int]] = []
+        if len(set(roots.tolist())) > 1:
+            held = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+            sizes = np.array([len(s) for s in held])
+            common = common_counts(held)
+            linked = 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+            linked &= roots[:, None] < roots[None, :]
+            if table.column("i")[0] != table.column("j")[0]:
+                linked &= own_[:, None] != own_[None, :]
+            top = {r: r for r in roots.tolist()}
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                a, b = (_top(top, roots[k].item()) for k in (x, y))
+                if a != b:
+                    top[a] = b
+                    out.append((ids[x].item(), ids[y].item()))
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _packed_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in range(0, len(batch), 1024):
+                part = batch.slice(step, 1024)
+                held = [s.tobytes() for s in _sets(part.column("text"), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(held, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _top(top: dict[int, int], x: int) -> int:
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """Groups rows whose texts are linked: 100 * common shingles >= threshold * shingles of either.
 
     Equal shingle sets are one class; a class is shown by one row. Classes that share a band of minima are candidates.
-    In each bucket all classes are paired with one of them only; pairs that sizes and packed low bits allow are confirmed
-    on full sets, and components are formed. A bucket that still holds several components is then joined with itself
-    over pairs of different components, so no link that matters is lost, and no bucket of copies is expanded into pairs.
+    In each bucket all classes are paired with one of them only, that which shares most buckets; pairs that sizes and
+    packed low bits allow are confirmed on full sets, and components are formed. A bucket that still holds several
+    components is gone through block by block for links between them, so no link that matters is lost, and no bucket of
+    copies is expanded into pairs.
 
     Returns for every row doc_id, text_hash (xxhash64 of the text), n_shingles, component_id (the smallest doc_id of the
     component, its own included) and kept (doc_id = component_id). Words: ASCII white space parts them, A-Z read as a-z.
@@ -149,21 +228,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
         "classes",
     )
     placed = reps.select("id", F.explode("bands").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = written(placed.join(crowded, "bucket"), "members")
+    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    together = written(placed.join(crowded, "bucket"), "together")
+    # The row that shares buckets with most others is likeliest to be what the others were copied from.
+    degree = together.groupBy("id").agg(F.sum("n").alias("degree"))
+    centre = together.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("m")).select("bucket", (-F.col("m.less")).alias("first"))
+    members = written(together.join(centre, "bucket"), "members")
     sig = reps.select("id", "sig", "n_shingles")
     stars = members.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sig.alias("x"), F.col("a") == F.col("x.id")).join(sig.alias("y"), F.col("b") == F.col("y.id")).where(_may_match("x", "y", threshold)).select("a", "b")
     links = written(_confirmed(stars, reps, docs, shingle, threshold, id_col, text_col), "links")
     roots = written(components(links), "roots")
 
-    rest = members.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    loose = written(rest.where(F.col("id") != F.col("first")).join(mixed, "bucket").join(sig, "id").select("bucket", "id", "root", "sig", "n_shingles"), "loose")
-    x, y = loose.alias("x"), loose.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & _may_match("x", "y", threshold)
-    more = x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    extra = written(_confirmed(more, reps, docs, shingle, threshold, id_col, text_col), "links")
+    rest = members.where("n > 2").join(reps.select("id", "n_shingles"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n_shingles").alias("weight"))
+    mixed = spread.where("low <> high").select("bucket", "weight")
+    loose = written(rest.where(F.col("id") != F.col("first")).join(mixed, "bucket").select("bucket", "n", "weight", "id", "root"), "loose")
+    sets = _texts(loose.select("id").distinct(), reps, docs, id_col, text_col).mapInArrow(_packed_sets(shingle), "id long, shingles binary")
+    extra = written(_across(loose, written(sets, "sets"), threshold, block), "links")
     if extra.limit(1).count():
         roots = written(components(links.unionByName(extra)), "roots")
 
