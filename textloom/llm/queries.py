@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import fold, spread, table
+from textloom.llm.sql import ORACLE_SQL
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
