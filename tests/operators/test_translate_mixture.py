@@ -46,6 +46,11 @@ def test_attempts(spark):
     assert translate.accepted(done).count() == 1 and translate.rejected(done).count() == 2
 
 
+def test_judge(spark):
+    items = spark.createDataFrame([("a", "rate 4"), ("b", "none")], "id string, prompt string")
+    assert {r.id: r.score for r in translate.judge(items, lambda p: p).collect()} == {"a": 4, "b": None}
+
+
 def test_retries():
     calls = []
 

@@ -110,3 +110,10 @@ def source_volume(docs: DataFrame, source_col: str = "source", text_col: str = "
 
 def label_histogram(routed: DataFrame) -> DataFrame:
     return routed.groupBy("lid", "route").agg(F.count("*").alias("docs"))
+
+
+def removal_rate(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, to_remove, rate in one row."""
+    a = docs.agg(F.count("*").alias("docs"))
+    b = removed.agg(F.countDistinct(id_col).alias("to_remove"))
+    return a.join(b).select("docs", "to_remove", F.round(F.col("to_remove") / F.greatest(F.col("docs"), F.lit(1)), 6).alias("rate"))

@@ -174,3 +174,14 @@ def accepted(results: DataFrame) -> DataFrame:
 
 def rejected(results: DataFrame) -> DataFrame:
     return results.where(~F.col("stage").startswith("PASS"))
+
+
+def judge(items: DataFrame, call: Callable[[str], str], prompt_col: str = "prompt", id_col: str = "id") -> DataFrame:
+    """id, score: the last of the digits 1 to 5 in the judge's answer; null if there is none. Calls run in the workers."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf[id_col].astype(str), "answer": [call(p) for p in pdf[prompt_col]]})
+
+    said = items.select(id_col, prompt_col).mapInPandas(run, "id string, answer string")
+    return said.select("id", T.last_score(F.col("answer")).alias("score"))

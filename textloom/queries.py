@@ -588,6 +588,13 @@ def source_volume(spark, sf_dir):
     return stats.source_volume(_t(spark, sf_dir, "documents"))
 
 
+@query("SELECT (SELECT count(*) FROM documents) AS docs, count(*) AS to_remove, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS rate FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1")
+def removal_rate(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    return stats.removal_rate(docs, docs.join(first, "doc_id", "left_anti"))
+
+
 # ---- release --------------------------------------------------------------------------------------------------------
 def _rows(spark, sf_dir) -> DataFrame:
     docs = _split(_t(spark, sf_dir, "documents"))
