@@ -66,7 +66,7 @@ def test_documents(spark, plain):
     want = []
     for i, t in docs:
         ids = [*plain(t), 1]
-        for start, n in cut(len(ids), 2048, 384):
+        for start, n in cut(len(ids), 2048, 256):
             want.append((-1 if i is None else i, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4")), len(ids)))
     mine = got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].fillna(-1).astype("int64")
     assert sorted(map(tuple, mine.to_numpy().tolist())) == sorted(want)

@@ -126,7 +126,7 @@ def cut(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2048, piece: int = 384, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2048, piece: int = 256, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document's ids and its end id."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -152,7 +152,7 @@ def pack_documents(
     docs: DataFrame,
     paths: tuple[str, str, str],
     capacity: int = 2048,
-    piece: int = 384,
+    piece: int = 256,
     group: int = 8192,
     end_id: int = 1,
     id_col: str = "doc_id",
