@@ -1,31 +1,13 @@
-"""What the operators of this subpackage share: reading, cutting lineage, spreading rows over tasks."""
+"""What the operators of this subpackage share: reading, spreading rows over tasks, small expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.workspace import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "fold", "shared_dir", "spread", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
