@@ -212,7 +212,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(table: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.25, decay: float = 1e-3) -> Field:
+def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Field:
     """Maximises the conditional log likelihood of the table by adaptive gradient steps; forward-backward in one batch."""
     names: dict[str, int] = {"": 0}
     rows = []
@@ -246,16 +246,17 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 120, rate: float =
             behind.append(np.where(live[:, t, None], step, behind[-1]))
         behind = behind[::-1]
         z = _lse(ahead[-1], 1)
-        d_emit, d_move = np.zeros_like(emit), np.zeros_like(move)
+        d_emit, d_move, diffs = np.zeros_like(emit), np.zeros_like(move), np.zeros((len(rows), longest, n))
         for t in range(longest):
             on = live[:, t, None]
-            diff = (one[gold[:, t]] - np.exp(ahead[t] + behind[t] - z[:, None])) * on
-            np.add.at(d_emit, ids[:, t].ravel(), np.repeat(diff, width, axis=0))
+            diffs[:, t] = (one[gold[:, t]] - np.exp(ahead[t] + behind[t] - z[:, None])) * on
             if t == 0:
-                d_first = diff.sum(axis=0)
+                d_first = diffs[:, t].sum(axis=0)
             else:
                 pair = np.exp(ahead[t - 1][:, :, None] + m + (score[:, t] + behind[t])[:, None, :] - z[:, None, None])
                 d_move += ((one[gold[:, t - 1]][:, :, None] * one[gold[:, t]][:, None, :] - pair) * on[:, :, None]).sum(axis=0)
+        for k in range(n):
+            d_emit[:, k] = np.bincount(ids.ravel(), np.repeat(diffs[:, :, k].ravel(), width), len(names))
         for x, d, g in ((emit, d_emit, sums[0]), (move, d_move, sums[1]), (first, d_first, sums[2])):
             d = d - decay * len(rows) * x
             g += d * d
