@@ -213,22 +213,32 @@ _CLUSTERED = f"""{_ROOTS}, named AS (SELECT r.*, coalesce(root, doc_id) AS clust
     row_number() OVER (PARTITION BY cluster ORDER BY chars DESC, first_seen, doc_id) AS t FROM named)"""
 
 
-def _clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Representatives, edges' roots and survivors in the configuration that SQL can follow."""
+def _shingles():
+    return T.ngrams(T.words(T.signature_view(F.col("text"))), 5, short=True)
+
+
+def _production_bands(docs: DataFrame, *keep: str) -> DataFrame:
+    """14 bands of 8 rows over 64-bit hashes, which SQL cannot follow."""
+    return written(minhash.banded(docs.select(*keep, _shingles().alias("shingles"))), "bands")
+
+
+def _reps_and_bands(spark, sf_dir, production: bool) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf_dir, "documents")
     reps = written(dedup.exact_survivors(docs, T.signature_view(F.col("text"))), "reps")
     texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi")
-    placed = minhash_plain.banded(texts, T.ngrams(T.words(T.signature_view(F.col("text"))), 5, short=True), _BANDS, _ROWS)
+    return reps, _production_bands(texts, "doc_id") if production else minhash_plain.banded(texts, _shingles(), _BANDS, _ROWS)
+
+
+def _clusters(spark, sf_dir, production: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Representatives, edges' roots and survivors, in the configuration that SQL can follow or in that of production."""
+    reps, placed = _reps_and_bands(spark, sf_dir, production)
     roots = written(components(minhash.bucket_edges(placed)), "roots")
     return reps, roots, dedup.cluster_survivors(reps, roots)
 
 
 @query(f"WITH {_EXACT}, {_LSH} SELECT a, b FROM e")
 def minhash_candidate_pairs(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    reps = dedup.exact_survivors(docs, T.signature_view(F.col("text"))).select("doc_id")
-    placed = minhash_plain.banded(docs.join(reps, "doc_id", "left_semi"), T.ngrams(T.words(T.signature_view(F.col("text"))), 5, short=True), _BANDS, _ROWS)
-    return minhash.bucket_edges(placed)
+    return minhash.bucket_edges(_reps_and_bands(spark, sf_dir, False)[1])
 
 
 @query(f"WITH RECURSIVE {_EXACT}, {_ROOTS} SELECT node, root FROM roots")
@@ -277,12 +287,68 @@ def cluster_review(spark, sf_dir):
     return dedup.cluster_review(dedup.cluster_sample(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir)[1]))
 
 
+def _copies(spark, sf_dir) -> DataFrame:
+    """doc_id, dup: whether another document has the same text."""
+    copies = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return copies.join(copies.groupBy("h").agg((F.count("*") > 1).alias("dup")), "h").select("doc_id", "dup")
+
+
 @query()
 def production_lsh(spark, sf_dir):
     """14 bands of 8 rows over 64-bit hashes, as used in production; tests hold it against a plain version."""
-    shingles = T.ngrams(T.words(T.signature_view(F.col("text"))), 5, short=True)
-    sets = _t(spark, sf_dir, "documents").select("doc_id", shingles.alias("shingles"))
-    return components(minhash.bucket_edges(written(minhash.banded(sets), "bands")))
+    return components(minhash.bucket_edges(_production_bands(_t(spark, sf_dir, "documents"), "doc_id")))
+
+
+# The queries above follow SQL with 4 bands of 4 rows. Those below decide on near duplicates as production does.
+@query()
+def production_candidate_pairs(spark, sf_dir):
+    return minhash.bucket_edges(_reps_and_bands(spark, sf_dir, True)[1])
+
+
+@query()
+def production_components(spark, sf_dir):
+    return _clusters(spark, sf_dir, True)[1]
+
+
+@query()
+def production_survivors(spark, sf_dir):
+    return _clusters(spark, sf_dir, True)[2]
+
+
+@query()
+def production_dedup_stats(spark, sf_dir):
+    reps, _, best = _clusters(spark, sf_dir, True)
+    return dedup.dedup_stats(reps, best)
+
+
+@query()
+def production_topk_clusters(spark, sf_dir):
+    return dedup.top_clusters(_clusters(spark, sf_dir, True)[2])
+
+
+@query()
+def production_cluster_hist(spark, sf_dir):
+    return stats.cluster_histogram(_clusters(spark, sf_dir, True)[2])
+
+
+@query()
+def production_cluster_sample(spark, sf_dir):
+    return dedup.cluster_sample(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir, True)[1])
+
+
+@query()
+def production_cluster_review(spark, sf_dir):
+    return dedup.cluster_review(dedup.cluster_sample(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir, True)[1]))
+
+
+@query()
+def production_audit_verdicts(spark, sf_dir):
+    return joins.audit_verdicts(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir, True)[2])
+
+
+@query()
+def production_audit_agreement(spark, sf_dir):
+    return joins.agreement(joins.audit_verdicts(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir, True)[2]), _copies(spark, sf_dir))
 
 
 _PARTS = f"""p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -403,10 +469,7 @@ def audit_verdicts(spark, sf_dir):
     round(count(*) FILTER (x = y) / count(*)::DOUBLE, 4) AS agreement FROM a JOIN b USING (doc_id)"""
 )
 def audit_agreement(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    copies = docs.select("doc_id", F.sha2("text", 256).alias("h"))
-    b = copies.join(copies.groupBy("h").agg((F.count("*") > 1).alias("dup")), "h").select("doc_id", "dup")
-    return joins.agreement(joins.audit_verdicts(docs, _clusters(spark, sf_dir)[2]), b)
+    return joins.agreement(joins.audit_verdicts(_t(spark, sf_dir, "documents"), _clusters(spark, sf_dir)[2]), _copies(spark, sf_dir))
 
 
 @query("WITH f AS (SELECT page_id, url, strlen(html) AS size FROM pages), c AS (SELECT *, coalesce(sum(size) OVER (ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT page_id, url, size::BIGINT AS size FROM c WHERE before < 100000")
@@ -491,9 +554,9 @@ _NEAR = f"""r AS (SELECT doc_id, {_sig('text')} AS sig, 1 AS k, {_SPLIT_SQL} AS
     near AS (SELECT t.split, n, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n::DOUBLE, 6) AS rate FROM (SELECT split, count(*) AS n FROM r WHERE split <> 'train' GROUP BY split) t LEFT JOIN (SELECT split, count(*) AS hits FROM hit GROUP BY split) USING (split))"""
 
 
-def _near(spark, sf_dir) -> DataFrame:
+def _near(spark, sf_dir, production: bool = False) -> DataFrame:
     docs = _split(_t(spark, sf_dir, "documents"))
-    placed = docs.select("doc_id", "split", minhash_plain.bands(T.ngrams(T.words(T.signature_view(F.col("text"))), 5, short=True), _BANDS, _ROWS).alias("bands"))
+    placed = _production_bands(docs, "doc_id", "split") if production else docs.select("doc_id", "split", minhash_plain.bands(_shingles(), _BANDS, _ROWS).alias("bands"))
     return minhash.near_rate(placed.where("split = 'train'"), placed.where("split <> 'train'"))
 
 
@@ -507,6 +570,16 @@ def gate_report(spark, sf_dir):
     return verify.gate_report(verify.exact_overlaps(_split(_t(spark, sf_dir, "documents"))), _near(spark, sf_dir))
 
 
+@query()
+def production_near_rate(spark, sf_dir):
+    return _near(spark, sf_dir, True)
+
+
+@query()
+def production_gate_report(spark, sf_dir):
+    return verify.gate_report(verify.exact_overlaps(_split(_t(spark, sf_dir, "documents"))), _near(spark, sf_dir, True))
+
+
 # ---- statistics -----------------------------------------------------------------------------------------------------
 @query(
     """WITH s AS (SELECT 0 AS stage_no, 'raw' AS stage, count(*) AS docs, sum(strlen(text)) AS bytes FROM documents UNION ALL SELECT 1, 'long', count(*), sum(strlen(text)) FROM documents WHERE length(text) >= 100
