@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.workspace import written
+
 
 def with_position(rows: DataFrame, *order: Column | str) -> DataFrame:
     """rows with ``pos``, the place in the order from 0.
@@ -23,14 +25,24 @@ def with_position(rows: DataFrame, *order: Column | str) -> DataFrame:
     return ranged.join(F.broadcast(first), "__part").withColumn("pos", F.col("__first") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__first")
 
 
-def draws(spark: SparkSession, shares: dict[str, float], steps: int, seed: int = 42) -> DataFrame:
-    """step, source: which source each step draws from. A step's draw depends on seed and step alone."""
+def ranked(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """rows with ``name``, the place in the order among the rows of one group, from 0; no group is gathered in one task."""
+    ranged = written(rows.orderBy(group, order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
+    first = counts.select("__part", "__low", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    placed = ranged.join(F.broadcast(first), "__part").withColumn("__pos", F.col("__first") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__first")
+    begins = placed.groupBy(group).agg(F.min("__pos").alias("__begin"))
+    return placed.join(F.broadcast(begins), group).withColumn(name, F.col("__pos") - F.col("__begin")).drop("__pos", "__begin")
+
+
+def draws(spark: SparkSession, shares: dict[str, float], steps: int, seed: int = 42, first: int = 0) -> DataFrame:
+    """step, source: which source each step from ``first`` to before ``steps`` draws from; seed and step alone decide."""
     edges = list(accumulate(shares.values()))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) * edges[-1]
     choice = F.lit(list(shares)[-1])
     for name, edge in reversed(list(zip(shares, edges))[:-1]):
         choice = F.when(u < edge, name).otherwise(choice)
-    return spark.range(steps).select(F.col("id").alias("step"), choice.alias("source"))
+    return spark.range(first, steps).select(F.col("id").alias("step"), choice.alias("source"))
 
 
 def steps_to_exhaust(sizes: dict[str, int], shares: dict[str, float], seed: int = 42, most: int = 10_000_000) -> int:
@@ -49,12 +61,59 @@ def steps_to_exhaust(sizes: dict[str, int], shares: dict[str, float], seed: int
     raise ValueError(f"a source is not exhausted after {most} steps")
 
 
+def steps_until_exhausted(rows: DataFrame, shares: dict[str, float], source_col: str = "source", seed: int = 42, blocks: int = 1000) -> int:
+    """What ``steps_to_exhaust`` gives, without a bound: the draws are counted in blocks of steps, on the executors.
+
+    The steps looked at double until each source has draws enough; then the block of each source's last needed draw is
+    divided again. At most ``blocks`` counts a source reach the driver.
+    """
+    spark = rows.sparkSession
+    need = {r[0]: r[1] for r in rows.where(F.col(source_col).isin(*shares)).groupBy(source_col).agg(F.count("*")).collect()}
+    if never := [k for k in need if shares[k] <= 0]:
+        raise ValueError(f"sources that are never drawn from: {never}")
+
+    def counted(low: int, high: int, size: int) -> dict[str, dict[int, int]]:
+        block = F.floor((F.col("step") - low) / F.lit(size)).cast("long").alias("block")
+        out: dict[str, dict[int, int]] = {k: {} for k in shares}
+        for r in draws(spark, shares, high, seed, low).groupBy("source", block).agg(F.count("*").alias("n")).collect():
+            out[r["source"]][r["block"]] = r["n"]
+        return out
+
+    def place(have: dict[int, int], left: int) -> tuple[int, int]:
+        """The block that holds the draw number ``left``, and that draw's number within it."""
+        for block in sorted(have):
+            if left <= have[block]:
+                return block, left
+            left -= have[block]
+        raise ValueError("too few draws")
+
+    total = sum(shares.values())
+    high = int(1.05 * max((n * total / shares[k] for k, n in need.items()), default=0)) + 1000
+    while True:
+        size = -(-high // blocks)
+        have = counted(0, high, size)
+        if all(sum(have[k].values()) >= n for k, n in need.items()):
+            break
+        high *= 2
+    last = 0
+    for k, n in need.items():
+        low, width, (block, left) = 0, size, place(have[k], n)
+        while True:
+            low += block * width
+            if width == 1:
+                break
+            step = -(-width // blocks)
+            block, left = place(counted(low, low + width, step)[k], left)
+            width = step
+        last = max(last, low + 1)
+    return last
+
+
 def interleave(rows: DataFrame, drawn: DataFrame, source_col: str = "source", *, order: str = "doc_id") -> DataFrame:
     """step, source and a row's columns: the k-th draw from a source takes its row k modulo its size, so short ones repeat."""
-    size = Window.partitionBy(source_col)
-    placed = rows.withColumn("__at", F.row_number().over(size.orderBy(order)) - 1)
+    placed = ranked(rows, source_col, order, "__at")
     sizes = rows.groupBy(source_col).agg(F.count("*").alias("__size"))
-    taken = drawn.withColumn("__k", F.row_number().over(Window.partitionBy("source").orderBy("step")) - 1).join(F.broadcast(sizes.withColumnRenamed(source_col, "source")), "source")
+    taken = ranked(drawn, "source", "step", "__k").join(F.broadcast(sizes.withColumnRenamed(source_col, "source")), "source")
     taken = taken.select("step", F.col("source").alias(source_col), (F.col("__k") % F.col("__size")).alias("__at"))
     return taken.join(placed, [source_col, "__at"]).drop("__at")
 

@@ -793,6 +793,22 @@ def mixture_interleave(spark, sf_dir):
     return mixture.interleave(docs, mixture.draws(spark, _SHARES, 2000), "lang").select("step", "lang", "doc_id")
 
 
+_LIMIT = f"(SELECT (2 * max(c / share) + 1000)::BIGINT FROM d JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in _SHARES.items())}) s(lang, share) USING (lang))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents),
+    {_draw_sql(0).replace('range(0) t(step)', f'(SELECT unnest(range({_LIMIT})) AS step)')}, n AS (SELECT step, lang, row_number() OVER (PARTITION BY lang ORDER BY step) - 1 AS k FROM dr),
+    stop AS (SELECT max(step) AS last FROM n JOIN d ON n.lang = d.lang AND k = c - 1 AND r = 0)
+    SELECT step, n.lang, doc_id FROM n JOIN d ON n.lang = d.lang AND k % c = r WHERE step <= (SELECT last FROM stop)"""
+)
+def mixture_exhausted(spark, sf_dir):
+    """Mixing goes on until every source has been seen whole; short ones repeat."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    drawn = mixture.draws(spark, _SHARES, mixture.steps_until_exhausted(docs, _SHARES, "lang"))
+    return mixture.interleave(docs, drawn, "lang").select("step", "lang", "doc_id")
+
+
 @query(
     """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, [length(w) for w in string_split(text, ' ')] AS ids FROM documents),
     f AS (SELECT pos // 64 AS seq_batch, flatten(list(list_append(ids, 0) ORDER BY pos)) AS a FROM d GROUP BY seq_batch), s AS (SELECT seq_batch, a, unnest(range(len(a) // 512)) AS seq FROM f)
