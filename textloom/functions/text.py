@@ -52,13 +52,19 @@ def release_view(text: Column, normalise: bool = True) -> Column:
     return F.regexp_replace(F.regexp_replace(nfc(text) if normalise else text, r"(?dm)[ \t]+$", ""), r"\n{3,}", "\n\n")
 
 
-def signature_view(text: Column, normalise: bool = False) -> Column:
-    """What two texts share if they differ in case, punctuation, digits and spacing alone.
+def nfkc(text: Column) -> Column:
+    """Compatibility and composed forms folded; texts of ASCII alone, which have none, stay out of the Arrow batches."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
-    With ``normalise`` compatibility forms are folded first, through Arrow batches; without it the chain is JVM code.
+
+def signature_view(text: Column, normalise: bool = True) -> Column:
+    """What two texts share if they differ in form, case, punctuation, digits and spacing alone.
+
+    Compatibility forms are folded first, through Arrow batches; without ``normalise`` the chain is JVM code.
     """
     spelled = F.replace(text, F.lit(LIGATURE[0]), F.lit(LIGATURE[1]))
-    low = F.lower(_nfkc(spelled) if normalise else spelled)
+    low = F.lower(nfkc(spelled) if normalise else spelled)
     return collapse(F.regexp_replace(F.regexp_replace(low, r"\p{P}", ""), r"\p{Nd}", "0"))
 
 
