@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 Span = tuple[str, int, int]
 
 #: Order of kinds that start at one place; the first four are those of the fixed patterns.
-KINDS = ("email", "ip", "card", "phone", "secret", "national_id", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "secret", "national_id", "iban", "local_phone", "name", "address", "username")
+#: Kinds that are numbers: without a digit there is none.
+_NUMBERS = frozenset(("national_id", "iban", "local_phone"))
 
 # ---- fixed patterns -------------------------------------------------------------------------------------------------
 # Each is equal to the plain pattern matched left to right, written so that no start is tried in vain along a long run.
@@ -114,11 +117,79 @@ def labelled_table(n: int = 360, seed: int = 11) -> list[tuple[str, list[Span]]]
     return rows
 
 
+FIRST_NAMES = tuple(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Karen Daniel Lisa Matthew Nancy Anthony Betty Sandra Margaret Steven "
+    "Ashley Andrew Kimberly Emily Donna Joshua Michelle Kevin Carol Brian Amanda George Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Laura Anna Maria Hans Peter Klaus Jürgen Ursula "
+    "Monika Pierre Jean Marie François Claire Sophie Luis José Carmen Ana Javier Pablo Lucía Giulia Marco Paolo Ivan Olga Dmitri Natalia Ahmed Fatima Omar Aisha Wei Yuki Hiroshi Priya Raj Anita "
+    "Armen Ani Narek Lilit".split()
+)
+_STREETS = tuple("Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Way".split())
+
+
+def open_table(n: int = 1400, seed: int = 23, firsts: tuple[str, ...] = FIRST_NAMES) -> list[tuple[str, list[Span]]]:
+    """Short texts with names, addresses, user names and secrets of letters alone, made by a rule. Two fifths hold none."""
+    r = random.Random(seed)
+    syllables = ("the", "er", "on", "ti", "que", "ción", "en", "sch", "ung", "éa", "re", "ha", "st", "ble", "an", "mo", "li", "ka")
+    word = lambda: "".join(r.choices(syllables, k=r.choice([1, 1, 2, 2, 3, 3, 4, 6, 9])))
+    short = lambda: "".join(r.choices(syllables, k=r.randrange(1, 4)))
+    cap = lambda: "".join(r.choices(syllables, k=r.randrange(2, 4))).capitalize()
+    number = lambda k: str(r.randrange(1, 10 ** r.randint(1, k)))
+    letters = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=r.randrange(8, 30)))
+
+    def words() -> str:
+        out = [word() + r.choice(["", "", "", ",", "."]) for _ in range(r.randrange(0, 6))]
+        return " ".join(w.capitalize() if i == 0 or out[i - 1].endswith(".") or r.random() < 0.05 else w for i, w in enumerate(out))
+
+    name = lambda first: first + r.choice([f" {cap()}", f" {cap()}", f" {r.choice('ABCDEFGHIJ')}. {cap()}", f" {cap()}-{cap()}", f" {cap()} {cap()}"])
+    cues = ["Mr. ", "Mrs. ", "Ms ", "Dr. ", "Dear ", "my name is ", "Name: ", "name: ", "contact ", "Contact: ", "signed by ", "Regards, "]
+    town = lambda: r.choice(["", "", f", {cap()}", f", {cap()} {r.randrange(10000, 99999)}", f", {r.randrange(10000, 99999)} {cap()}"])
+    street = lambda: r.choice([f"{cap()} {r.choice(_STREETS)}", f"{cap()} {cap()} {r.choice(_STREETS)}", f"rue de {cap()}"])
+    handle = lambda: r.choice([short() + "_" + short(), short() + "." + short(), short(), short() + number(3), cap() + cap(), short() + "-" + short()])
+    secret = lambda: r.choice([short() + short() + short(), letters(), short() + "-" + short() + "-" + short(), short() + short(), short()])
+    assign = lambda keys: r.choice(keys) + r.choice(["=", " = ", ": ", ":"])
+    make = {
+        "name": lambda: ("", name(r.choice(firsts))) if r.random() < 0.5 else (r.choice(cues), r.choice([name(cap()), name(r.choice(firsts)), cap(), cap()])),
+        "address": lambda: r.choice([*[("", f"{number(4)} {street()}{town()}")] * 3, ("", f"{cap()}{r.choice(['straße', 'strasse', 'weg'])} {number(3)}{town()}"), ("", f"Calle {cap()} {number(3)}{town()}"), (r.choice(["address: ", "Address: ", "lives at "]), f"{street()}, {cap()}")]),
+        "username": lambda: r.choice([(assign(["username", "user", "login", "Username", "user name"]), handle()), ("@", handle())]),
+        "secret": lambda: (assign(["password", "passwd", "pwd", "secret", "api_key", "access_token", "token", "Password", "PASSWORD"]), secret()),
+    }
+    plain = [
+        lambda: f"The {cap()} {cap()} {word()}", lambda: f"{cap()} {cap()}", lambda: f"{cap()} {cap()} {cap()}.", lambda: f"the password {word()} {word()}", lambda: f"a secret {word()}", lambda: f"user {word()} {word()}",
+        lambda: f"the name {word()} {word()}", lambda: f"{word()} street {word()}", lambda: f"In {r.choice(['19', '20'])}{r.randrange(10, 99)} {cap()} {word()}", lambda: f"{number(3)} {word()} {word()}", lambda: f"address {word()} {word()}",
+        lambda: f"contact {word()} {word()}", lambda: "Licensed under the Apache License, Version 2.0.", lambda: f"{word()}: {word()} {word()}", lambda: f"{word()} = {word()}", lambda: f"{word()}.{word()}@{word()}.example.com",
+        lambda: f"{number(2)} {cap()} {word()}", lambda: f"the token {word()}", lambda: f"{(w := cap())} {w}", lambda: f"Chapter {number(2)} {cap()}", lambda: f"{word()}_{word()}", lambda: f"{word()} | {word()} | {word()}",
+        lambda: f"login {word()}", lambda: f"by {word()} road {word()}", lambda: f"{cap()}, {cap()} and {cap()}", lambda: f"{cap()}-{cap()}",
+        lambda: " ".join([cap() + r.choice(["", "", ",", "."])] * r.randrange(3, 16)), lambda: " ".join([word() + r.choice(["", ".", ":"])] * r.randrange(3, 9)), lambda: "-".join([word(), word(), word()]), letters, lambda: " ".join(word() + r.choice(["", ",", "."]) + r.choice("&$#*%@|") * 3 for _ in range(r.randrange(2, 7))),
+    ]
+    rows = []
+    for i in range(n):
+        parts, spans = words(), []
+        for _ in range(r.choice([1, 1, 2])):
+            parts += " " if parts else ""
+            if i % 5 < 2:
+                parts += r.choice(plain)()
+            else:
+                kind = r.choice(["address", "address", "name", "name", "secret", "secret", "username"])
+                lead, value = make[kind]()
+                quote = r.choice(["", "", '"', "'"]) if kind == "secret" else ""
+                parts += lead + quote
+                spans.append((kind, len(parts), len(parts) + len(value)))
+                parts += value + quote + r.choice(["", ",", ""])
+            parts += r.choice(["", " " + word() + " " + words()])
+        rows.append((parts, spans))
+    return rows
+
+
 # ---- the field ------------------------------------------------------------------------------------------------------
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_+")
-_KEYWORDS = frozenset("token key secret password api access ssn social security iban account call phone tel fax version".split())
-_TAGS = ("O", *[f"{p}-{k}" for k in ("secret", "national_id", "iban", "local_phone") for p in "BI"])
-_WINDOW = 48
+_KEYWORDS = frozenset(
+    "token key secret password passwd pwd api access ssn social security iban account call phone tel fax version mr mrs ms dr dear name contact signed regards address lives user username login rue calle license".split()
+)
+#: What a word stands for as a keyword: itself, or its list. Names and streets count with a capital alone.
+_LISTED = dict.fromkeys(FIRST_NAMES, "<first>") | dict.fromkeys(_STREETS, "<street>")
+_TAGS = ("O", *[f"{p}-{k}" for k in KINDS[4:] for p in "BI"])
+#: Tokens that are decoded at once: bounds memory, not what is read.
+_AT_ONCE = 200_000
 
 
 def shape(w: str) -> str:
@@ -134,10 +205,15 @@ def shape(w: str) -> str:
     return ("hex" if hexa else "mix" if any(c.isupper() for c in w) else "mixlow") + ("<8" if len(w) < 8 else "<16" if len(w) < 16 else "<24" if len(w) < 24 else ">")
 
 
+def keyword(w: str) -> str:
+    low = w.lower()
+    return _LISTED.get(w) or (low if low in _KEYWORDS else "<street>" if low.endswith(("straße", "strasse", "weg")) and w[0].isupper() else "")
+
+
 def features(words: list[str], gaps: list[bool]) -> list[list[str]]:
     """Names of what holds at each token: its shape, its neighbours' shapes, near keywords, white space before it."""
     s = ["<s>", "<s>", *map(shape, words), "</s>", "</s>"]
-    low = ["", "", "", *[w.lower() if w.lower() in _KEYWORDS else "" for w in words]]
+    low = ["", "", "", *map(keyword, words), "", ""]
     out = []
     for i in range(len(words)):
         k, g = i + 2, "_" if gaps[i] else "."
@@ -145,7 +221,7 @@ def features(words: list[str], gaps: list[bool]) -> list[list[str]]:
         out.append(
             [
                 "bias", f"s={s[k]}", f"p={s[k - 1]}{g}{s[k]}", f"n={s[k]}{n}{s[k + 1]}", f"pp={s[k - 2]}|{s[k - 1]}|{s[k]}", f"nn={s[k]}|{s[k + 1]}|{s[k + 2]}", f"pn={s[k - 1]}|{s[k]}|{s[k + 1]}",
-                f"k1={low[i + 2]}|{s[k]}", f"k2={low[i + 1]}|{s[k]}", f"k3={low[i]}|{s[k]}", f"own={low[i + 3]}", f"head={words[i][:2] if words[i][:2].isupper() else ''}|{s[k]}",
+                f"k1={low[i + 2]}|{s[k]}", f"k2={low[i + 1]}|{s[k]}", f"k3={low[i]}|{s[k]}", f"own={low[i + 3]}", f"a1={low[i + 4]}|{s[k]}", f"a2={low[i + 5]}|{s[k]}", f"head={words[i][:2] if words[i][:2].isupper() else ''}|{s[k]}",
             ]
         )
     return out
@@ -207,11 +283,6 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return move, first
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Field:
     """Maximises the conditional log likelihood of the table by adaptive gradient steps; forward-backward in one batch."""
     names: dict[str, int] = {"": 0}
@@ -235,26 +306,29 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0
     sums = [np.full_like(x, 1e-6) for x in (emit, move, first)]
     one = np.eye(n)
     for _ in range(rounds):
-        m, s = move + fixed_move, first + fixed_first
+        m, s = np.exp(move + fixed_move), np.exp(first + fixed_first)
         score = emit[ids].sum(axis=2)
-        ahead, behind = [score[:, 0] + s], [np.zeros((len(rows), n))]
-        for t in range(1, longest):
-            step = _lse(ahead[-1][:, :, None] + m, 1) + score[:, t]
-            ahead.append(np.where(live[:, t, None], step, ahead[-1]))
-        for t in range(longest - 1, 0, -1):
-            step = _lse(m + (score[:, t] + behind[-1])[:, None, :], 2)
-            behind.append(np.where(live[:, t, None], step, behind[-1]))
-        behind = behind[::-1]
-        z = _lse(ahead[-1], 1)
-        d_emit, d_move, diffs = np.zeros_like(emit), np.zeros_like(move), np.zeros((len(rows), longest, n))
+        e = np.exp(score - score.max(axis=2, keepdims=True))
+        # Chances ahead of and behind each token, scaled to sum to 1 at each: only their products' shares are needed.
+        ahead, behind = np.zeros_like(e), np.ones_like(e)
+        ahead[:, 0] = s * e[:, 0]
         for t in range(longest):
-            on = live[:, t, None]
-            diffs[:, t] = (one[gold[:, t]] - np.exp(ahead[t] + behind[t] - z[:, None])) * on
-            if t == 0:
-                d_first = diffs[:, t].sum(axis=0)
-            else:
-                pair = np.exp(ahead[t - 1][:, :, None] + m + (score[:, t] + behind[t])[:, None, :] - z[:, None, None])
-                d_move += ((one[gold[:, t - 1]][:, :, None] * one[gold[:, t]][:, None, :] - pair) * on[:, :, None]).sum(axis=0)
+            if t:
+                ahead[:, t] = np.where(live[:, t, None], (ahead[:, t - 1] @ m) * e[:, t], ahead[:, t - 1])
+            ahead[:, t] /= ahead[:, t].sum(axis=1, keepdims=True)
+        for t in range(longest - 1, 0, -1):
+            back = (e[:, t] * behind[:, t]) @ m.T
+            behind[:, t - 1] = np.where(live[:, t, None], back / back.sum(axis=1, keepdims=True), behind[:, t])
+        share = ahead * behind
+        share /= share.sum(axis=2, keepdims=True)
+        diffs = (one[gold] - share) * live[:, :, None]
+        d_emit, d_move, d_first = np.zeros_like(emit), np.zeros_like(move), diffs[:, 0].sum(axis=0)
+        for t in range(1, longest):
+            on = live[:, t]
+            a, b = ahead[on, t - 1], e[on, t] * behind[on, t]
+            z = ((a @ m) * b).sum(axis=1, keepdims=True)
+            d_move -= m * ((a / z).T @ b)
+            np.add.at(d_move, (gold[on, t - 1], gold[on, t]), 1.0)
         for k in range(n):
             d_emit[:, k] = np.bincount(ids.ravel(), np.repeat(diffs[:, :, k].ravel(), width), len(names))
         for x, d, g in ((emit, d_emit, sums[0]), (move, d_move, sums[1]), (first, d_first, sums[2])):
@@ -271,55 +345,163 @@ def _gaps(toks: list[re.Match]) -> list[bool]:
 
 @lru_cache(maxsize=1)
 def default_field() -> Field:
-    return train(labelled_table())
-
-
-def _segments(t: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits, out to white space at least _WINDOW characters off: a span must hold a digit."""
-    begin = end = -1
-    for m in _DIGIT.finditer(t):
-        if m.start() < end - _WINDOW:
-            continue
-        a, b = max(0, m.start() - _WINDOW), min(len(t), m.end() + 2 * _WINDOW)
-        while a > max(0, end) and not t[a].isspace():
-            a -= 1
-        while b < len(t) and not t[b].isspace():
-            b += 1
-        if begin >= 0 and a <= end:
-            end = b
-        else:
-            if begin >= 0:
-                yield begin, end
-            begin, end = a, b
-    if begin >= 0:
-        yield begin, end
+    return train(labelled_table() + open_table(), rounds=100)
+
+
+class _Codes(dict):
+    """Token to a number: shape, keyword and capital head of those that the field knows; -1 for white space."""
+
+    def __init__(self, shapes: dict[str, int], words: dict[str, int], heads: dict[str, int]):
+        self.shapes, self.words, self.heads = shapes, words, heads
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        head = w[:2] if w[:2].isupper() else ""
+        code = -1 if w.isspace() else self.shapes.get(shape(w), 0) | self.words.get(keyword(w), 0) << 10 | self.heads.get(head, 0) << 20
+        self[w] = code
+        return code
+
+
+class _Scorer:
+    """What ``Field.ids`` and ``Field.decode`` give, for whole texts: features come from tables of small numbers."""
+
+    def __init__(self, field: Field):
+        shapes, heads = {"": 0, "<s>": 1, "</s>": 2}, {"": 0}
+        for f in field.names:  # n= names hold a shape, a mark of white space and the next shape; s= names are shapes
+            if f.startswith("s="):
+                shapes.setdefault(f[2:], len(shapes))
+            elif f.startswith("head="):
+                heads.setdefault(f[5:7] if f[5:6] != "|" else "", len(heads))
+        words = {"": 0} | {w: i + 1 for i, w in enumerate(sorted({*_KEYWORDS, *_LISTED.values()}))}
+        self.codes, get, n = _Codes(shapes, words, heads), field.names.get, len(shapes)
+        names = list(shapes)
+        names[0] = "\0"  # a shape that the field does not know: no feature has it
+
+        def table(name, *sizes) -> np.ndarray:
+            return np.array([get(name(*at), 0) for at in np.ndindex(*sizes)], np.int32).reshape(sizes)
+
+        S, K, H = names, list(words), list(heads)
+        self.prev = table(lambda a, g, b: f"p={S[a]}{'._'[g]}{S[b]}", n, 2, n)
+        self.next = table(lambda a, g, b: f"n={S[a]}{'._'[g]}{S[b]}", n, 2, n)
+        self.three = [table(lambda a, b, c: f"{x}={S[a]}|{S[b]}|{S[c]}", n, n, n) for x in ("pp", "pn", "nn")]  # noqa: B023
+        self.emit, self.move, self.first = (x.astype(np.float32) for x in (field.emit, field.move, field.first))
+        held = lambda *a: self.emit[table(*a)]
+        self.base = held(lambda a: f"s={S[a]}", n) + self.emit[get("bias", 0)]
+        self.near = {d: held(lambda k, a: f"{f'k{-d}' if d < 0 else f'a{d}'}={K[k]}|{S[a]}", len(K), n) for d in (-1, -2, -3, 1, 2)}  # noqa: B023
+        self.own, self.head = held(lambda k: f"own={K[k]}", len(K)), held(lambda h, a: f"head={H[h]}|{S[a]}", len(H), n)
+        self.base = self.base + sum(x[0] for x in self.near.values()) + self.own[0] + self.head[0]
+
+    def scores(self, codes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """A row of scores by tag for each token of one text or, with six empty places between them, of several."""
+        s, k, h = codes & 1023, codes >> 10 & 1023, codes >> 20
+        i = np.arange(2, len(codes) - 2)
+        a, b, c, d, e = s[i - 2], s[i - 1], s[i], s[i + 1], s[i + 2]
+        out = self.base[c]
+        for ids in (self.prev[b, gaps[i], c], self.next[c, gaps[i + 1], d], self.three[0][a, b, c], self.three[1][b, c, d], self.three[2][c, d, e]):
+            out += self.emit[ids]
+        for d, near in self.near.items():
+            there = k[np.maximum(i + d, 0)]
+            on = np.flatnonzero(there)
+            out[on] += near[there[on], c[on]] - near[0, c[on]]
+        on = np.flatnonzero(k[i])
+        out[on] += self.own[k[i[on]]] - self.own[0]
+        on = np.flatnonzero(h[i])
+        out[on] += self.head[h[i[on]], c[on]] - self.head[0, c[on]]
+        return np.concatenate([np.zeros((2, len(self.first)), np.float32), out])
+
+    def tags(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the tags of its tokens, and where they begin and end."""
+        parts, gaps, bounds, begin, at = [], [], [], [], 0
+        edge, none = np.array([1, 1, 1]), np.zeros(3, np.int64)
+        for t in texts:
+            toks = _PIECE.findall(t)
+            codes = np.fromiter(map(self.codes.__getitem__, toks), np.int64, len(toks))
+            ends = np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)))
+            on = codes >= 0
+            before = np.zeros(len(toks), np.int64)
+            before[1:] = ~on[:-1]
+            before, stops = before[on], ends[on]
+            if len(before):
+                before[0] = 0
+            bounds.append((stops - np.fromiter((len(w) for w, x in zip(toks, on) if x), np.int64, len(stops)), stops))
+            begin.append(at + 3)
+            parts += [edge, codes[on], edge + 1]
+            gaps += [none, before, none]
+            at += 6 + len(stops)
+        score = self.scores(np.concatenate(parts), np.concatenate(gaps)) if parts else np.zeros((0, len(self.first)), np.float32)
+        sizes = np.array([len(x) for _, x in bounds], np.int64)
+        by_size = np.argsort(-sizes, kind="stable")
+        offs, live = np.array(begin, np.int64)[by_size], sizes[by_size]
+        found, best = np.zeros(len(score), np.int8), np.zeros((len(texts), len(self.first)), np.float32)
+        back = np.zeros(score.shape, np.int8)
+        counts = np.searchsorted(-live, -np.arange(1, (live[0] if len(live) else 0) + 1), side="right")  # texts longer than t
+        move = np.ascontiguousarray(self.move.T)[None]
+        for t, m in enumerate(counts):
+            now = score[offs[:m] + t]
+            if t:
+                paths = best[:m, None, :] + move
+                pick = paths.argmax(axis=2)
+                back[offs[:m] + t] = pick
+                best[:m] = np.take_along_axis(paths, pick[:, :, None], 2)[:, :, 0] + now
+            else:
+                best[:m] = now + self.first
+        tag = best.argmax(axis=1)
+        for t in range(len(counts) - 1, -1, -1):
+            where = offs[: counts[t]] + t
+            found[where] = tag[: counts[t]]
+            tag[: counts[t]] = back[where, tag[: counts[t]]]
+        return [(found[b : b + n], *x) for b, n, x in zip(begin, sizes, bounds)]
+
+
+#: Tokens and the white space between them.
+_PIECE = re.compile(rf"\s+|{_TOKEN.pattern}")
+_scorers: dict[bytes, _Scorer] = {}
+
+
+def _scorer(field: Field) -> _Scorer:
+    """The field's tables, made once a process."""
+    key = hashlib.sha256(repr(sorted(field.names.items())).encode() + b"".join(x.tobytes() for x in (field.emit, field.move, field.first))).digest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = _Scorer(field)
+    return _scorers[key]
 
 
 def find_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its fixed spans and all spans: the field adds those that hold a digit and touch no fixed one."""
-    fixed = [base_spans(t) for t in texts]
-    where, tokens, sequences = [], [], []
-    for k, t in enumerate(texts):
-        for a, b in _segments(t):
-            toks = list(_TOKEN.finditer(t, a, b))
-            if toks:
-                where.append(k)
-                tokens.append(toks)
-                sequences.append(field.ids([m[0] for m in toks], _gaps(toks)))
-    out = [(f, list(f)) for f in fixed]
-    for k, toks, tags in zip(where, tokens, field.decode(sequences), strict=True):
-        i = 0
-        while i < len(toks):
-            tag = _TAGS[tags[i]]
-            j = i + 1
-            if tag[0] == "B":
-                while j < len(toks) and _TAGS[tags[j]] == f"I{tag[1:]}":
-                    j += 1
-                a, b = toks[i].start(), toks[j - 1].end()
-                if _DIGIT.search(texts[k], a, b) and not any(x < b and a < y for _, x, y in fixed[k]):
-                    out[k][1].append((tag[2:], a, b))
-            i = j
-    return [(f, sorted(every, key=order)) for f, every in out]
+    """For each text its fixed spans and all spans: the field reads whole texts and adds what touches no fixed one."""
+    scorer = _scorer(field)
+    out: list[tuple[list[Span], list[Span]]] = [([], [])] * len(texts)
+    by_size = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+    at = 0
+    while at < len(by_size):
+        chars, end = 0, at
+        while end < len(by_size) and (end == at or chars + len(texts[by_size[end]]) <= _AT_ONCE * 4):
+            chars += len(texts[by_size[end]]) + 12
+            end += 1
+        part = by_size[at:end]
+        for k, (tags, starts, stops) in zip(part, scorer.tags([texts[k] for k in part]), strict=True):
+            out[k] = _spans(texts[k], tags, starts, stops)
+        at = end
+    return out
+
+
+def _spans(text: str, tags: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[Span], list[Span]]:
+    fixed = base_spans(text)
+    every = list(fixed)
+    named = np.flatnonzero(tags).tolist()
+    at = 0
+    while at < len(named):
+        i = j = named[at]
+        kind = _TAGS[tags[i]][2:]
+        at += 1
+        if _TAGS[tags[i]][0] == "B":
+            while at < len(named) and named[at] == j + 1 and _TAGS[tags[j + 1]] == f"I-{kind}":
+                j, at = j + 1, at + 1
+            a, b = int(starts[i]), int(stops[j])
+            if (kind not in _NUMBERS or _DIGIT.search(text, a, b)) and not any(x < b and a < y for _, x, y in fixed):
+                every.append((kind, a, b))
+    return fixed, sorted(every, key=order)
 
 
 def _listed(spans: list[Span]) -> str:
@@ -329,8 +511,8 @@ def _listed(spans: list[Span]) -> str:
 def detect(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text", mask: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (or the columns in ``keep``), base and spans (kind:start:end, comma-joined, code points) of every row.
 
-    Base spans are those of the four fixed patterns; the field adds spans of secrets, national ids, account numbers and
-    local phone numbers. With ``mask`` a further column ``masked`` has the text with each span replaced by its kind in
+    Base spans are those of the four fixed patterns; the field adds spans of secrets, national ids, account numbers,
+    local phone numbers, names, addresses and user names. With ``mask`` a further column ``masked`` has the text with each span replaced by its kind in
     angle brackets (overlapping spans become one). A null text has no spans and stays null. Null ids and repeated rows
     each give a row; an empty table gives an empty result; columns not named are ignored.
     """
