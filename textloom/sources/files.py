@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 from textloom.functions import text as T
 
+#: Rows of a report, which is gathered on the driver.
+REPORT_ROWS = 10_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A row a line; blank lines are skipped, a malformed line raises."""
@@ -58,8 +61,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_report(spark: SparkSession, df: DataFrame, path: str) -> dict:
-    """A table of a few rows as a JSON file in any store Spark can write to; returns what it holds."""
-    rows = [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
+    """A table of at most ``REPORT_ROWS`` rows as a JSON file in any store Spark can write to; returns what it holds.
+
+    A longer table raises; ``append_jsonl`` writes those.
+    """
+    rows = [r.asDict(recursive=True) for r in df.limit(REPORT_ROWS + 1).collect()]
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows")
     body = rows[0] if len(rows) == 1 else {"rows": rows}
     spark.createDataFrame([(json.dumps(body, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return body
