@@ -142,12 +142,18 @@ def choice_letter(text: Column) -> Column:
     return F.nullif(F.upper(F.substring(F.regexp_replace(last, r"^[()]+|[()]+\z", ""), 1, 1)), F.lit(""))
 
 
+#: How an answer letter is given, said and boxed.
+ANSWER_GIVEN = r"^\(?([A-J])\)?$"
+ANSWER_SAID = r"(?i)answer is \(?([A-J])\)?"
+ANSWER_BOXED = r"boxed\{?\(?([A-J])\)?\}?"
+
+
 def final_answer(output: Column, expected: Column) -> Column:
     """The answer letter: of ``expected`` where that is given, else from the last 400 characters of the output."""
-    given = F.nullif(F.regexp_extract(strip(expected), r"^\(?([A-J])\)?$", 1), F.lit(""))
+    given = F.nullif(F.regexp_extract(strip(expected), ANSWER_GIVEN, 1), F.lit(""))
     tail = F.right(output, F.lit(400))
-    said = F.nullif(F.regexp_extract(tail, r"(?i)answer is \(?([A-J])\)?", 1), F.lit(""))
-    boxed = F.nullif(F.regexp_extract(tail, r"boxed\{?\(?([A-J])\)?\}?", 1), F.lit(""))
+    said = F.nullif(F.regexp_extract(tail, ANSWER_SAID, 1), F.lit(""))
+    boxed = F.nullif(F.regexp_extract(tail, ANSWER_BOXED, 1), F.lit(""))
     return F.when(F.coalesce(expected, F.lit("")) != "", given).otherwise(F.coalesce(said, boxed))
 
 

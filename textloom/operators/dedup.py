@@ -12,7 +12,7 @@ def exact_survivors(docs: DataFrame, sig: Column, id_col: str = "doc_id", text_c
     """One row for each signature: the longest text, the earliest id on ties; with the group's size and first id.
 
     Ranks come from aggregates that combine before the shuffle (max_by over a struct), so a signature that a third of
-    all rows share is not sorted in one task. Texts are joined back by id at the end.
+    all rows share is not sorted in one task. ``with_texts`` joins the texts of the winners back.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(sig, 256).alias("sig"), F.char_length(text_col).cast("long").alias("chars"))
     return (
@@ -22,6 +22,12 @@ def exact_survivors(docs: DataFrame, sig: Column, id_col: str = "doc_id", text_c
     )
 
 
+def with_texts(survivors: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The survivors with the columns of docs they lack: ids alone are shuffled until it is known which rows stay."""
+    more = [c for c in docs.columns if c == id_col or c not in survivors.columns]
+    return docs.select(*more).join(survivors, id_col)
+
+
 def cluster_survivors(reps: DataFrame, roots: DataFrame) -> DataFrame:
     """The longest representative of each component, earliest first_seen on ties; cluster_size sums the exact counts.
 
@@ -87,14 +93,32 @@ def strip_boilerplate(docs: DataFrame, sep: str = "\n\n", min_tokens: int = 13,
     A document that loses nothing keeps its text as it is; one that falls under ``min_len`` characters goes, untouched
     ones included.
     """
-    common = paragraph_frequency(docs, sep, min_tokens).where(F.col("df") >= min_docs).select("key", F.lit(1).alias("common"))
-    parts = _paragraphs(docs, sep, min_tokens).join(common, "key", "left")
-    kept = parts.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("common").isNull(), F.struct("pos", "p")))).alias("kept"), F.count("common").alias("removed")
+    return _stripped(docs, sep, min_tokens, min_docs).select("doc_id", "text", "removed").where(F.char_length("text") >= min_len)
+
+
+def _stripped(docs: DataFrame, sep: str, min_tokens: int, min_docs: int) -> DataFrame:
+    """doc_id, text, removed of every document.
+
+    Only paragraphs long enough to have a key are joined, with places and no text; the document then drops the places
+    found, so its text is never taken apart and shuffled in pieces, and short paragraphs do not meet under a null key.
+    """
+    common = paragraph_frequency(docs, sep, min_tokens).where(F.col("df") >= min_docs).select("key")
+    keyed = _paragraphs(docs, sep, min_tokens).where(F.col("key").isNotNull()).select("doc_id", "pos", "key")
+    gone = keyed.join(common, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    joined = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    left = F.filter(F.transform(T.paragraphs(F.col("text"), sep), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: ~F.array_contains("gone", x["i"]))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(F.transform(left, lambda x: x["p"]), sep)).otherwise(F.col("text"))
+    return joined.select("doc_id", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"))
+
+
+def strip_report(docs: DataFrame, sep: str = "\n\n", min_tokens: int = 13, min_docs: int = 10, min_len: int = 100) -> DataFrame:
+    """One row: paragraphs_removed, docs_touched, docs_dropped of ``strip_boilerplate``."""
+    found = _stripped(docs, sep, min_tokens, min_docs)
+    return found.agg(
+        F.coalesce(F.sum("removed"), F.lit(0)).cast("long").alias("paragraphs_removed"),
+        F.count_if(F.col("removed") > 0).alias("docs_touched"),
+        F.count_if(F.coalesce(F.char_length("text"), F.lit(0)) < min_len).alias("docs_dropped"),
     )
-    joined = docs.join(kept, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
-    text = F.when(F.col("removed") > 0, F.array_join(F.transform("kept", lambda x: x["p"]), sep)).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "removed").where(F.char_length("text") >= min_len)
 
 
 def boilerplate_top(docs: DataFrame, sep: str = "\n\n", min_tokens: int = 13, min_docs: int = 10, k: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.workspace import written
 
 Classifier = Callable[[list[str]], list[tuple[str, float]]]
 
@@ -47,8 +48,8 @@ def label(text: Column, classify: Classifier, chars: int = 1000) -> Column:
 
 
 def run_lid(docs: DataFrame, classify: Classifier, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Kept documents with ``lid``, the others with ``lid`` and ``lid_prob``."""
-    found = docs.withColumn("__l", label(F.col("text"), classify))
+    """Kept documents with ``lid``, the others with ``lid`` and ``lid_prob``. Labels are stored, so each text is classified once."""
+    found = written(docs.withColumn("__l", label(F.col("text"), classify)), "lid")
     kept = found.where(F.col("__l.label").isin(*keep)).withColumn("lid", F.col("__l.label")).drop("__l")
     rest = found.where(~F.col("__l.label").isin(*keep)).withColumns({"lid": F.col("__l.label"), "lid_prob": F.col("__l.prob")}).drop("__l")
     return kept, rest

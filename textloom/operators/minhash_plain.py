@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
-
 PRIME = (1 << 61) - 1
 
 
@@ -25,17 +23,14 @@ def coefficients(perms: int) -> list[tuple[int, int]]:
     return out
 
 
-def bands(shingles: Column, n_bands: int = 4, rows: int = 4) -> Column:
-    """array<string>: the minima of each band, joined by dashes."""
-    base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
-    pairs = coefficients(n_bands * rows)
-
-    def keys(hashes: Column) -> Column:
-        least = [F.array_min(F.transform(hashes, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME))) for a, b in pairs]  # noqa: B023
-        return F.array(*[F.concat_ws("-", *[m.cast("string") for m in least[k * rows : (k + 1) * rows]]) for k in range(n_bands)])
-
-    return T.let(base, keys)
-
+def banded(docs: DataFrame, shingles: Column, n_bands: int = 4, rows: int = 4, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns in ``keep``, and bands: array<string>, the minima of each band, joined by dashes.
 
-def banded(docs: DataFrame, shingles: Column, n_bands: int = 4, rows: int = 4, id_col: str = "doc_id") -> DataFrame:
-    return docs.select(id_col, bands(shingles, n_bands, rows).alias("bands"))
+    Shingles become rows and the minima plain aggregates, which stay in generated code and combine before the shuffle: one
+    row a document is sent. Rows without a shingle drop out.
+    """
+    base = F.conv(F.substring(F.md5("s"), 1, 7), 16, 10).cast("long")
+    hashed = docs.select(id_col, *keep, F.explode(shingles).alias("s")).select(id_col, *keep, base.alias("h"))
+    least = [F.min((F.col("h") * F.lit(a) + F.lit(b)) % F.lit(PRIME)).alias(f"m{k}") for k, (a, b) in enumerate(coefficients(n_bands * rows))]
+    keys = [F.concat_ws("-", *[F.col(f"m{k * rows + i}").cast("string") for i in range(rows)]) for k in range(n_bands)]
+    return hashed.groupBy(id_col, *keep).agg(*least).select(id_col, *keep, F.array(*keys).alias("bands"))

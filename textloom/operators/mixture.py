@@ -13,24 +13,27 @@ from pyspark.sql import functions as F
 from textloom.workspace import written
 
 
-def with_position(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows with ``pos``, the place in the order from 0.
+def _ranged(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with ``__pos``, the place in the order from 0, with ``__part``: the range of the order that holds the row.
 
-    Rows are sorted into ranges; the ranges' counts, one a partition, give each range's first place, and rows are ranked
-    inside their range alone.
+    The sorted rows are stored with their partition and place first: bounds of ranges are drawn anew whenever a sort is
+    computed again, so counts and rows must come from one computation. The counts, one a range, give each range's first place.
     """
-    ranged = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
-    first = counts.select("__part", "__low", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    return ranged.join(F.broadcast(first), "__part").withColumn("pos", F.col("__first") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__first")
+    held = written(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    counts = held.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__part", "__low", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__first"))
+    return held.join(F.broadcast(first), "__part").withColumn("__pos", F.col("__first") + F.col("__at") - F.col("__low")).drop("__at", "__low", "__first")
+
+
+def with_position(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with ``pos``, the place in the order from 0: each place once. Rows are ranked inside their range alone."""
+    return _ranged(rows, *order).withColumnRenamed("__pos", "pos").drop("__part")
 
 
 def ranked(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """rows with ``name``, the place in the order among the rows of one group, from 0; no group is gathered in one task."""
-    ranged = written(rows.orderBy(group, order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranked")
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
-    first = counts.select("__part", "__low", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    placed = ranged.join(F.broadcast(first), "__part").withColumn("__pos", F.col("__first") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__first")
+    placed = _ranged(rows, group, order).drop("__part")
     begins = placed.groupBy(group).agg(F.min("__pos").alias("__begin"))
     return placed.join(F.broadcast(begins), group).withColumn(name, F.col("__pos") - F.col("__begin")).drop("__pos", "__begin")
 

@@ -38,6 +38,7 @@ def assign(rows: DataFrame, val_n: int = 20_000, test_n: int = 20_000, months: i
 
     Rows of the last months are ``test_tail`` up to the cap in seeded order; what is over goes to train. Of the others,
     val and test_iid take proportional quotas from each (source, month) in seeded order, test_iid from what val left.
+    Ids are unique; rows that share one go to the same split. Strata are (source, month) pairs, few enough to broadcast.
     """
     known = rows.select("id", T.source_or_unknown(F.col("source")).alias("source"), T.month_of(F.col("post_date")).alias("month"))
     tail = F.broadcast(tail_months(known, months).withColumn("late", F.lit(True)))
@@ -52,9 +53,16 @@ def assign(rows: DataFrame, val_n: int = 20_000, test_n: int = 20_000, months: i
     after = strata.join(val, ["source", "month"], "left").fillna({"val": 0})
     test = _quotas(after, test_n, F.col("n") - F.col("val")).withColumnRenamed("quota", "test")
     quotas = after.join(test, ["source", "month"], "left").fillna({"test": 0}).select("source", "month", "val", "test")
+    # No quota exceeds val_n + test_n, so each task hands on that many rows of a stratum at most; the last row within each
+    # quota is then an edge that every row is compared with, and what is train is never sorted.
     rank = F.row_number().over(Window.partitionBy("source", "month").orderBy("turn", "id"))
-    placed = pool.withColumn("rank", rank).join(F.broadcast(quotas), ["source", "month"])
-    split = F.when(F.col("rank") <= F.col("val"), "val").when(F.col("rank") <= F.col("val") + F.col("test"), "test_iid").otherwise("train")
+    first = pool.withColumn("rank", rank).where(F.col("rank") <= val_n + test_n).join(F.broadcast(quotas), ["source", "month"])
+    at = F.struct("turn", "id")
+    edges = first.groupBy("source", "month").agg(
+        F.max(F.when(F.col("rank") <= F.col("val"), at)).alias("v"), F.max(F.when(F.col("rank") <= F.col("val") + F.col("test"), at)).alias("t")
+    )
+    placed = pool.join(F.broadcast(edges), ["source", "month"], "left")
+    split = F.when(at <= F.col("v"), "val").when(at <= F.col("t"), "test_iid").otherwise("train")
     return late.unionByName(placed.select("id", "source", "month", split.alias("split")))
 
 

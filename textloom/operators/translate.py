@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,6 +141,20 @@ def retrying(call: Callable[[str], str], waits: Sequence[float] = WAITS, retry_o
     return run
 
 
+def rotating(calls: Sequence[Callable[[str], str]], waits: Sequence[float] = WAITS, retry_on: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), give_up: str | None = None) -> Callable[[str], str]:
+    """One call over several keys: each prompt starts with the next of ``calls``, and each retry goes on to the one after it.
+
+    As many first waits as there are zeros in ``waits`` are tried without pause, so every key has had a turn before any wait.
+    """
+    turn = count()
+
+    def run(prompt: str) -> str:
+        tries = count(next(turn))
+        return retrying(lambda p: calls[next(tries) % len(calls)](p), waits, retry_on, give_up)(prompt)
+
+    return run
+
+
 def translate(items: DataFrame, translators: Sequence[Callable[[str, str], str]], check: Callable[[dict, str], tuple[str, str]]) -> DataFrame:
     """id, stage, output, attempts: each item goes through the translators in turn until a check says PASS.
 

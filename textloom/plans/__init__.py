@@ -1 +1 @@
-
+"""Plan patterns that several operators share."""

@@ -199,6 +199,13 @@ def exact_dedup_survivors(spark, sf_dir):
     return dedup.exact_survivors(_t(spark, sf_dir, "documents"), T.signature_view(F.col("text"))).drop("sig")
 
 
+@query(f"WITH {_EXACT} SELECT r.doc_id, d.text, d.lang, d.source, d.n_chars, r.count, r.first_seen FROM r JOIN documents d USING (doc_id) WHERE k = 1")
+def exact_survivor_texts(spark, sf_dir):
+    """The winners of exact de-duplication with their texts joined back."""
+    docs = _t(spark, sf_dir, "documents")
+    return dedup.with_texts(dedup.exact_survivors(docs, T.signature_view(F.col("text"))).drop("sig", "chars"), docs)
+
+
 _BANDS, _ROWS = 4, 4
 _PAIRS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(minhash_plain.coefficients(_BANDS * _ROWS)))
 _LSH = f"""w AS (SELECT doc_id, {_words('sig')} AS w FROM r WHERE k = 1), g AS (SELECT doc_id, unnest({_grams_short('w', 5)}) AS g FROM w),
@@ -370,6 +377,15 @@ def paragraph_strip(spark, sf_dir):
     return dedup.strip_boilerplate(_t(spark, sf_dir, "documents"), "\n", min_docs=3)
 
 
+@query(
+    f"""WITH {_PARTS}, j AS (SELECT q.doc_id, count(*) FILTER (f.df >= 3) AS removed, string_agg(p, chr(10) ORDER BY pos) FILTER (f.df IS NULL OR f.df < 3) AS kept FROM q LEFT JOIN f USING (key) GROUP BY q.doc_id),
+    o AS (SELECT CASE WHEN j.removed > 0 THEN coalesce(j.kept, '') ELSE d.text END AS text, coalesce(j.removed, 0) AS removed FROM documents d LEFT JOIN j USING (doc_id))
+    SELECT sum(removed)::BIGINT AS paragraphs_removed, count(*) FILTER (removed > 0) AS docs_touched, count(*) FILTER (coalesce(length(text), 0) < 100) AS docs_dropped FROM o"""
+)
+def paragraph_report(spark, sf_dir):
+    return dedup.strip_report(_t(spark, sf_dir, "documents"), "\n", min_docs=3)
+
+
 @query(f"WITH {_PARTS} SELECT left(example, 80) AS head, sum(df)::BIGINT AS df FROM f WHERE df >= 3 GROUP BY head ORDER BY df DESC, head LIMIT 20")
 def boilerplate_top(spark, sf_dir):
     return dedup.boilerplate_top(_t(spark, sf_dir, "documents"), "\n", min_docs=3)
@@ -423,13 +439,16 @@ def lid_label_lookup(spark, sf_dir):
 
 @query()
 def lid_profile(spark, sf_dir):
-    """The plug-in classifier on whole tables, trained on a few rows of each language; accuracy is tested."""
+    """The plug-in classifier on every row, trained on a few rows of each language; accuracy is tested.
+
+    It reads the first 1,000 characters of a text with white space collapsed: that head is the operator's own definition.
+    """
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = joins.stratified_sample(docs.where("lang IS NOT NULL"), "lang", 40).collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).append(r["text"])
-    return docs.select("doc_id", "lang", lid.label(F.col("text"), lid.profile(samples)).alias("l")).select("doc_id", "lang", F.col("l.label").alias("lid"))
+    return docs.select("doc_id", "lang", lid.label(F.col("text"), lid.profile(samples), chars=1000).alias("l")).select("doc_id", "lang", F.col("l.label").alias("lid"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE ('0x' || substr({_seeded(42, 'doc_id')}, 1, 8))::BIGINT < {int(0.1 * (1 << 32))}")
@@ -556,7 +575,7 @@ _NEAR = f"""r AS (SELECT doc_id, {_sig('text')} AS sig, 1 AS k, {_SPLIT_SQL} AS
 
 def _near(spark, sf_dir, production: bool = False) -> DataFrame:
     docs = _split(_t(spark, sf_dir, "documents"))
-    placed = _production_bands(docs, "doc_id", "split") if production else docs.select("doc_id", "split", minhash_plain.bands(_shingles(), _BANDS, _ROWS).alias("bands"))
+    placed = _production_bands(docs, "doc_id", "split") if production else minhash_plain.banded(docs, _shingles(), _BANDS, _ROWS, keep=("split",))
     return minhash.near_rate(placed.where("split = 'train'"), placed.where("split <> 'train'"))
 
 
@@ -691,6 +710,28 @@ def release_violations(spark, sf_dir):
     return release.violations(_rows(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_ROWS_SQL}, x AS (SELECT *, CASE WHEN source = 'src8' THEN 'val' ELSE split END AS expected FROM rw)
+    SELECT id, split, 'bad text' AS reason FROM x WHERE text IS NULL OR length(text) < 100 UNION ALL SELECT id, min(split), 'duplicate id' FROM x GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT id, split, 'split mismatch' FROM x WHERE split IS DISTINCT FROM expected"""
+)
+def release_split_mismatch(spark, sf_dir):
+    """Rows that stand in the table of another split than they say: here all of one source lie in that of val."""
+    rows = _rows(spark, sf_dir)
+    names = [r[0] for r in rows.select("split").distinct().collect()]
+    off = (F.col("source") == "src8") & F.col("source").isNotNull()
+    splits = {n: rows.where((off & F.lit(n == "val")) | (~F.coalesce(off, F.lit(False)) & (F.col("split") == n))) for n in names}
+    return release.violations(release.of_splits(splits))
+
+
+@query("SELECT lang AS panel, count(*) AS docs, sum(strlen(text))::BIGINT AS text_bytes, sum(len(string_split(text, ' ')))::BIGINT AS tokens FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def panel_manifest(spark, sf_dir):
+    """Documents, bytes and tokens of a panel for each language."""
+    docs = _t(spark, sf_dir, "documents")
+    names = [r[0] for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect()]
+    return files.panel_manifest({n: docs.where(F.col("lang") == n) for n in names}, lambda text: F.size(F.split(text, " ")).cast("long"))
+
+
 @query(f"WITH {_ROWS_SQL} SELECT id, text, source, NULL::VARCHAR AS url, NULL::VARCHAR AS topic, NULL::VARCHAR AS post_date, NULL::VARCHAR AS scrape_date, NULL::VARCHAR AS dedup_cluster_id, 1::INTEGER AS cluster_size, split FROM rw")
 def release_schema(spark, sf_dir):
     return enforce(_rows(spark, sf_dir), RELEASE)

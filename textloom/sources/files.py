@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,3 +90,16 @@ def capped(df: DataFrame, cap: int, seed: int = 42, id_col: str = "id") -> DataF
 def panel(spark: SparkSession, path: str) -> DataFrame:
     """text: the lines that are not blank."""
     return spark.read.text(path).where(T.strip(F.col("value")) != "").select(F.col("value").alias("text"))
+
+
+def panel_manifest(panels: dict[str, DataFrame], tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """panel, docs, text_bytes, tokens: a row for each panel, empty ones too; tokens are those of words unless ``tokens`` counts them."""
+    count = tokens or (lambda text: F.size(T.words(text)).cast("long"))
+    each = [
+        df.agg(
+            F.lit(name).alias("panel"), F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("text_bytes"),
+            F.coalesce(F.sum(count(F.col("text"))), F.lit(0)).cast("long").alias("tokens"),
+        )
+        for name, df in panels.items()
+    ]
+    return reduce(DataFrame.unionByName, each)

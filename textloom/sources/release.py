@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,23 @@ class ReleaseError(ValueError):
     """Rows that may not be released."""
 
 
+def of_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all splits with ``expected``, the split whose table they stand in."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("expected", F.lit(name)) for name, df in splits.items()])
+
+
 def violations(rows: DataFrame, min_len: int = 100) -> DataFrame:
-    """id, split, reason of rows with a bad text or a repeated id; a repeated id is reported once."""
+    """id, split, reason of rows with a bad text, a split other than ``expected`` (if there is that column) or a repeated id.
+
+    A repeated id is reported once.
+    """
     bad = rows.where(F.col("text").isNull() | (F.char_length("text") < min_len)).select("id", "split", F.lit("bad text").alias("reason"))
     twice = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("split").alias("split")).where("n > 1").select("id", "split", F.lit("duplicate id").alias("reason"))
-    return bad.unionByName(twice)
+    found = bad.unionByName(twice)
+    if "expected" in rows.columns:
+        other = rows.where(~F.col("split").eqNullSafe(F.col("expected")))
+        found = found.unionByName(other.select("id", "split", F.lit("split mismatch").alias("reason")))
+    return found
 
 
 def manifest(rows: DataFrame) -> DataFrame:
