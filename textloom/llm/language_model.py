@@ -1,4 +1,4 @@
-"""Language-model scores from a weighted backoff automaton over word pairs."""
+"""Language-model scores from a weighted backoff automaton over words, pairs and triples of words."""
 
 from __future__ import annotations
 
@@ -9,13 +9,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import written
 from textloom.llm.hashing import mix, text_chunks, word_hashes
 
-_END, _START, _PAIR = (mix(np.array([k], np.uint64))[0] for k in (1 << 60, (1 << 60) + 1, (1 << 60) + 2))
+_END, _START, _PAIR, _TRIPLE = (mix(np.array([k], np.uint64))[0] for k in ((1 << 60) + j for j in range(4)))
+#: Prior masses of the states of one word and of two.
+MASSES = (1000.0, 5.0)
+#: Kinds of keys: words, pairs, triples.
+_KINDS = (0, 1, 2)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -49,101 +54,170 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def states_before(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The state each token is read in: the token before it, or the start of a text."""
+def keys_of(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the pair and of the triple of words that end at each place; a text's first token ends no triple (0).
+
+    The pair at the first token is that of the start and the token.
+    """
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[bounds[:-1]] = _START
-    return before
-
-
-def arcs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(mix(before ^ _PAIR) + tokens)
+    pairs = mix(mix(before ^ _PAIR) + tokens)
+    triples = np.zeros_like(pairs)
+    triples[1:] = mix(mix(pairs[:-1] ^ _TRIPLE) + tokens[1:])
+    triples[bounds[:-1]] = 0
+    return pairs, triples
 
 
 class Automaton:
-    """The root and a state for each word seen in training; counts are those of the arcs that a block of texts can take.
-
-    The root has an arc for every token: log10 of (c + 0.5) / (N + 0.5 (V + 1)), unseen tokens included. A state h has
-    an arc for each token w that followed it, of weight log10(l c(h, w) / c(h) + (1 - l) p(w)), and a failure arc to the
-    root of weight log10(1 - l), where l = share * c(h) / (c(h) + damping). The weights of a state sum to 1. A token
-    without a state leads to the root.
-    """
-
-    def __init__(self, total: int, kinds: int, texts: int, share: float, damping: float) -> None:
-        self.total, self.kinds, self.texts, self.share, self.damping = total, kinds, texts, share, damping
-
-    def root(self, c: np.ndarray) -> np.ndarray:
-        return (c + 0.5) / (self.total + 0.5 * (self.kinds + 1))
-
-    def walk(self, c: np.ndarray, c_arc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 weights of one left-to-right walk: by the root alone, and by the automaton.
-
-        c: counts of the tokens; c_arc: of the arcs from the state before each to it; first: begins of texts. The state
-        carried from a token to the next is that token, or the root if it was never seen, so its count is the last one.
-        """
-        p = self.root(c)
-        c_state = np.empty_like(c)
-        c_state[1:] = c[:-1]
-        c_state[first] = self.texts
-        known = c_state > 0
-        weight = np.where(known, self.share * c_state / (c_state + self.damping), 0.0)
-        taken = np.divide(c_arc, c_state, out=np.zeros(len(c)), where=known)
-        return np.log10(p), np.log10(weight * taken + (1.0 - weight) * p)
+    """A weighted backoff automaton over the n-grams that a block of texts can meet, with their counts in the whole training corpus.
 
+    States are histories: the root, the start of a text, words and pairs seen in training. A state h has an arc for each
+    token w that followed it there, of weight log10 p(w|h), where p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m) is the count
+    smoothed by the shorter history h' (a Dirichlet prior of mass m, one for words and one for pairs), and a failure arc to
+    h' of weight log10(m / (c(h) + m)), which is what is left for all other tokens. The root has an arc for every token, of
+    weight (c + 0.5) / (N + 0.5 (V + 1)), unseen tokens included. So the weights of each state sum to 1. An arc leads to
+    the longest history that is a state.
 
-def _trained(held_out: pa.Array) -> np.ndarray:
-    return ~np.asarray(held_out.fill_null(False).to_numpy(zero_copy_only=False), bool)
-
-
-def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
-
-def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, begin, end) of sorted keys by their highest bits."""
-    edges = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
-    for b in range(1 << bits):
-        if edges[b + 1] > edges[b]:
-            yield b, int(edges[b]), int(edges[b + 1])
-
-
-def _totals(rows: DataFrame, bits: int, flush: int = 2_000_000) -> DataFrame:
-    """n_all, n_train, n_texts, kinds: tokens of all rows and of training rows, training rows, distinct training tokens."""
+    words: places of each token among the block's distinct ones; pairs and triples: of the n-gram ending there (-1: none).
+    counts: of distinct words, pairs and triples. end: the place of the end token, or -1.
+    """
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: list[np.ndarray], n: tuple[int, int, int]) -> pa.RecordBatch:
-            u = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-            parts = [(b, encode_sorted(u[x:y]), 0, 0, 0) for b, x, y in _split(u, bits)] + [(-1, b"", *n)]
-            return pa.RecordBatch.from_pylist([dict(zip(("bucket", "keys", "n_all", "n_train", "n_texts"), p, strict=True)) for p in parts], schema=schema)
+    def __init__(self, total: int, kinds: int, texts: int, masses: tuple[float, float], words, pairs, triples, first, counts, end: int) -> None:
+        one, two, three = (np.asarray(c, np.float64) for c in counts)
+        n = len(one)
+        word_state, pair_state = 2 + np.arange(n), 2 + n + np.arange(len(two))
+        history = np.concatenate([[0.0, texts], one, two])  # by state: root, start, words, pairs
+        # What each distinct n-gram is made of, read off one place where it stands.
+        at2, at3 = _somewhere(pairs, len(two)), _somewhere(triples, len(three))
+        before = np.where(first[at2], 1, word_state[words[at2 - 1]]) if len(two) else at2
+        token2, token3 = words[at2], words[at3]
+        p1 = (one + 0.5) / (total + 0.5 * (kinds + 1))
+        p2 = (two + masses[0] * p1[token2]) / (history[before] + masses[0])
+        p3 = (three + masses[1] * p2[pairs[at3]]) / (two[pairs[at3 - 1]] + masses[1]) if len(three) else three
+        goes_on = np.arange(n) != end
+        view = lambda x: memoryview(np.ascontiguousarray(x))
+        #: Weight and target of each arc, by the length of the history it leaves.
+        self.weight = [view(np.log10(p)) for p in (p1, p2, p3)]
+        self.to = [view(np.where((one > 0) & goes_on, word_state, 0)), view(np.where(goes_on[token2], pair_state, 0)), view(np.where(goes_on[token3], pair_state[pairs[at3]] if len(three) else 0, 0))]
+        #: Weight and target of each state's failure arc; a state with a count alone is ever entered.
+        with np.errstate(divide="ignore"):
+            mass = np.concatenate([[1.0], np.full(1 + n, masses[0]), np.full(len(two), masses[1])])
+            self.fail = view(np.log10(mass / (history + mass)))
+        self.back = view(np.concatenate([[0], np.zeros(1 + n, np.int64), word_state[token2]]))
+        self.first_pair = 2 + n
+        #: Arcs that may be taken at each place, by the length of the history; -1 where training has none.
+        self.arcs = [words, np.where((pairs >= 0) & (two[pairs] > 0), pairs, -1), np.where((triples >= 0) & (three[triples] > 0), triples, -1) if len(three) else triples]
+        self.start = 1 if texts else 0
+        self.root_weight = np.log10(p1)
+
+    def walk(self, begin: int, end: int) -> float:
+        """log10 probability of the tokens from begin to end, a text, in one pass from left to right."""
+        (w1, w2, w3), (to1, to2, to3), fail, back, pairs = self.weight, self.to, self.fail, self.back, self.first_pair
+        state, total = self.start, 0.0
+        for one, two, three in zip(*(a[begin:end].tolist() for a in self.arcs), strict=True):
+            if state >= pairs:
+                if three >= 0:
+                    total += w3[three]
+                    state = to3[three]
+                    continue
+                total += fail[state]
+                state = back[state]
+            if state:
+                if two >= 0:
+                    total += w2[two]
+                    state = to2[two]
+                    continue
+                total += fail[state]
+            total += w1[one]
+            state = to1[one]
+        return total
+
+
+def _somewhere(places: np.ndarray, n: int) -> np.ndarray:
+    """A position at which each of the n n-grams stands."""
+    at = np.zeros(n, np.int64)
+    there = np.flatnonzero(places >= 0)
+    at[places[there]] = there
+    return at
+
+
+def _distinct(keys: np.ndarray, there: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and each position's place among them; -1 where ``there`` is false."""
+    if there is None:
+        u, at = np.unique(keys, return_inverse=True)
+        return u, at.astype(np.int64)
+    u, at = np.unique(keys[there], return_inverse=True)
+    places = np.full(len(keys), -1, np.int64)
+    places[there] = at
+    return u, places
+
+
+class _Block:
+    """The tokens of a block's texts; distinct keys of each kind, and each position's place among them."""
+
+    def __init__(self, row: dict, width: int) -> None:
+        vocabulary, words = decode_sorted(row["vocabulary"]), decode(row["places"]).astype(np.int64)
+        sizes = decode(row["sizes"]).astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.held = decode(row["held"]).astype(bool)
+        pairs, triples = (k >> np.uint64(64 - width) for k in keys_of(vocabulary[words], self.bounds))
+        self.first = np.zeros(len(words), bool)
+        self.first[self.bounds[:-1]] = True
+        found = ((vocabulary, words), _distinct(pairs), _distinct(triples, ~self.first))
+        self.keys, self.places = [u for u, _ in found], [at for _, at in found]
+        at = int(np.searchsorted(vocabulary, _END))
+        self.end = at if at < len(vocabulary) and vocabulary[at] == _END else -1
+
+    def counts(self, kind: int) -> np.ndarray:
+        """How often the block's own training texts hold each distinct key."""
+        at = self.places[kind]
+        used = np.repeat(~self.held, np.diff(self.bounds)) & (at >= 0)
+        return np.bincount(at[used], minlength=len(self.keys[kind])).astype(np.uint64)
+
+
+def _split(keys: np.ndarray, width: int, bits: int) -> list[tuple[int, int, int]]:
+    """(range, begin, end) of sorted keys of ``width`` bits by their highest ``bits``; ranges without a key are not there."""
+    if not len(keys):
+        return []
+    found, begins = np.unique((keys >> np.uint64(width - bits)).astype(np.int64), return_index=True)
+    return list(zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True))
+
+
+def _blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
+    """A row for each run of rows of about ``block_tokens`` tokens, or of one longer text: ids, tokens and counts, compressed."""
+    id_type = dict(rows.dtypes)["doc_id"]
 
-        keys, size, n = [], 0, (0, 0, 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, id_arrow, held = TaskContext.get().partitionId() << 32, None, []
+
+        def packed() -> pa.RecordBatch:
+            nonlocal number
+            ids, out, tokens, sizes = (list(x) for x in zip(*held, strict=True))
+            ids, out, tokens, sizes = pa.concat_arrays(ids), np.concatenate(out), np.concatenate(tokens), np.concatenate(sizes)
+            vocabulary, places = np.unique(tokens, return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            blobs = [encode_sorted(vocabulary), encode(places), encode(sizes), encode(out)]
+            numbers = [len(tokens), int(sizes[~out].sum()), int((~out).sum())]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), ids, *[pa.array([b], pa.binary()) for b in blobs], *[pa.array([x], pa.int64()) for x in numbers]], names)
+
+        n = 0
         for batch in batches:
-            train = _trained(batch.column("held_out"))
-            tokens, bounds = tokens_of(batch.column("text"))
-            sizes = np.diff(bounds)
-            keys.append(np.unique(tokens[np.repeat(train, sizes)]))
-            size += len(keys[-1])
-            n = (n[0] + len(tokens), n[1] + int(sizes[train].sum()), n[2] + int(train.sum()))
-            if size > flush:
-                yield out(keys, n)
-                keys, size, n = [], 0, (0, 0, 0)
-        yield out(keys, n)
-
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n_all", pa.int64()), ("n_train", pa.int64()), ("n_texts", pa.int64())])
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = 0
-        if pdf["bucket"].iloc[0] >= 0:
-            kinds = len(np.unique(np.concatenate([decode_sorted(x) for x in pdf["keys"]])))
-        return pd.DataFrame({"n_all": [pdf["n_all"].sum()], "n_train": [pdf["n_train"].sum()], "n_texts": [pdf["n_texts"].sum()], "kinds": [kinds]})
-
-    parts = rows.select("text", "held_out").mapInArrow(seen, "bucket int, keys binary, n_all long, n_train long, n_texts long")
-    return (
-        parts.groupBy("bucket")
-        .applyInPandas(merged, "n_all long, n_train long, n_texts long, kinds long")
-        .agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_all", "n_train", "n_texts", "kinds")])
-    )
+            out = np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
+            for at, end, data, offsets in text_chunks(batch.column("text")):
+                words, bounds = word_hashes(data, offsets)
+                held.append((batch.column("doc_id").slice(at, end - at), out[at:end], np.insert(words, bounds[1:], _END), np.diff(bounds) + 1))
+                n += len(held[-1][2])
+                if n >= block_tokens:
+                    yield packed()
+                    held, n = [], 0
+        if held:
+            yield packed()
+
+    names = ["block", "ids", "vocabulary", "places", "sizes", "held", "n_tokens", "n_train", "n_texts"]
+    schema = f"block long, ids array<{id_type}>, vocabulary binary, places binary, sizes binary, held binary, n_tokens long, n_train long, n_texts long"
+    return rows.mapInArrow(run, schema)
 
 
 def score_texts(
@@ -151,17 +225,20 @@ def score_texts(
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    share: float = 0.15,
-    damping: float = 20.0,
+    masses: tuple[float, float] = MASSES,
     block_tokens: int = 2_000_000,
+    range_keys: int = 2_000_000,
 ) -> DataFrame:
-    """Scores every row under an automaton learnt from the rows where ``held_out`` is not true.
+    """Scores every row under an automaton of order 3 learnt from the rows where ``held_out`` is not true.
 
-    Rows are dealt by hash into blocks of about ``block_tokens`` tokens. A block sends the sorted keys of its tokens and
-    arcs with its own training counts; keys meet by their highest bits, are summed over all blocks, and each block gets
-    back the totals of its keys in the order it sent them. So counts cover all documents, are never pruned, and no task
-    holds more than the arcs of one block or one range of keys. What is gathered grows with the corpus; nothing is
-    broadcast but four totals. Keys are 64-bit hashes.
+    Texts are read once, into blocks of about ``block_tokens`` tokens, which are stored. A block sends the sorted distinct
+    keys of its words, pairs and triples with its own training counts; keys meet by their highest bits, in ranges of about
+    ``range_keys``, are summed over all blocks, and each block gets back the totals of its keys in the order it sent them.
+    So counts cover all documents, are never pruned, and no task holds more than one block or one range. A block sends a
+    message to a range only if it has a key there, so what is sent never exceeds a message for each distinct key of each
+    block: it grows with the corpus, in proportion. Nothing is broadcast but four totals. Words are 64-bit hashes; keys
+    of pairs and triples have 20 bits more than it takes to number them (64 at most), so an n-gram never seen meets
+    another's key once in a million times.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (root arcs alone) and score, both log10. Words:
     ASCII white space parts them, A-Z read as a-z; an end follows each text and counts as a token. A null text is an
@@ -170,68 +247,56 @@ def score_texts(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     id_type = dict(rows.dtypes)["doc_id"]
-    totals = _totals(rows, 6).first()
-    n_blocks = max(1, -(-totals["n_all"] // block_tokens))
-    bits = max(2, math.ceil(math.log2(2 * n_blocks)))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    model = Automaton(totals["n_train"], totals["kinds"], totals["n_texts"], share, damping)
-
-    def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """tokens, begins of texts; for tokens and for arcs: distinct keys, and each position's place among them."""
-        tokens, bounds = tokens_of(table.column("text"))
-        found = [np.unique(x, return_inverse=True) for x in (tokens, arcs(states_before(tokens, bounds), tokens))]
-        return tokens, bounds, [u for u, _ in found], [at for _, at in found]
-
-    def sent(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, bounds, keys, places = keys_of(table)
-        train = np.repeat(_trained(table.column("held_out").combine_chunks()), np.diff(bounds)).astype(np.float64)
-        out = []
-        for kind, (u, at) in enumerate(zip(keys, places, strict=True)):
-            counts = np.bincount(at, train, len(u)).astype(np.uint64)
-            out += [(kind, b, block, encode_sorted(u[x:y]), encode(counts[x:y])) for b, x, y in _split(u, bits)]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "block", "keys", "counts"])
+    blocks = written(_blocks(rows, block_tokens), "lm-blocks")
+    n_all, total, texts = blocks.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n_tokens", "n_train", "n_texts")]).first()
+    numbered = math.ceil(math.log2(max(2, 2 * n_all)))
+    width = min(64, numbered + 20)
+    bits = max(5, math.ceil(math.log2(max(1, n_all / range_keys))))
+    widths = (64, width, width)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block(row, width)
+                for kind in _KINDS:
+                    keys, counts = block.keys[kind], block.counts(kind)
+                    out = [(kind, r, row["block"], encode_sorted(keys[x:y]), encode(counts[x:y])) for r, x, y in _split(keys, widths[kind], bits)]
+                    for at in range(0, len(out), 1000):
+                        cols = zip(*out[at : at + 1000], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "block", "keys", "counts"])
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [decode_sorted(x) for x in pdf["keys"]]
         u, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate([decode(x) for x in pdf["counts"]]).astype(np.float64), len(u)).astype(np.uint64)
+        sums = np.bincount(at, np.concatenate([decode(x) for x in pdf["counts"]]).astype(np.float64), len(u)).astype(np.uint64)
         ends = np.cumsum([0, *map(len, keys)])
-        pdf["totals"] = [encode(total[at[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-        return pdf[["kind", "bucket", "block", "totals"]]
-
-    asked = blocked.groupBy("block").applyInArrow(sent, "kind int, bucket int, block int, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInPandas(summed, "kind int, bucket int, block int, totals binary")
-
-    def scored(table: pa.Table, back: pa.Table) -> pa.Table:
-        tokens, bounds, keys, places = keys_of(table)
-        got = sorted(zip(*(back.column(c).to_pylist() for c in ("kind", "bucket", "totals")), strict=True), key=lambda x: x[:2])
-        counts = []
-        for kind in (0, 1):
-            parts = [decode(t) for k, _, t in got if k == kind]
-            total = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
-            if len(total) != len(keys[kind]):
-                raise RuntimeError("a block and the totals sent back to it differ")
-            counts.append(total[places[kind]])
-        if not len(tokens):
-            sums = np.zeros((3, 0))
-        else:
-            base, walk = model.walk(counts[0], counts[1], bounds[:-1])
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, walk, (counts[0] > 0).astype(np.float64))]
-        n = table.num_rows
+        pdf["totals"] = [encode(sums[at[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        pdf["kinds"] = 0
+        pdf.loc[pdf.index[0], "kinds"] = int((sums > 0).sum()) if pdf["kind"].iloc[0] == 0 else 0
+        return pdf[["kind", "part", "block", "totals", "kinds"]]
+
+    columns = ("block", "vocabulary", "places", "sizes", "held")
+    asked = blocks.select(*columns).mapInArrow(sent, "kind int, part long, block long, keys binary, counts binary")
+    answers = written(asked.groupBy("kind", "part").applyInPandas(summed, "kind int, part long, block long, totals binary, kinds long"), "lm-totals")
+    kinds = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+
+    def scored(held: pa.Table, back: pa.Table) -> pa.Table:
+        row = held.select(list(columns)).to_pylist()[0]
+        block = _Block(row, width)
+        got = sorted(zip(*(back.column(c).to_pylist() for c in ("kind", "part", "totals")), strict=True), key=lambda x: x[:2])
+        counts = [np.concatenate([np.zeros(0, np.uint64), *[decode(t) for k, _, t in got if k == kind]]) for kind in _KINDS]
+        if [len(c) for c in counts] != [len(k) for k in block.keys]:
+            raise RuntimeError("a block and the totals sent back to it differ")
+        model = Automaton(total, kinds, texts, masses, *block.places, block.first, counts, block.end)
+        b, words = block.bounds, block.places[0]
+        base, known = (np.add.reduceat(x[words], b[:-1]) for x in (model.root_weight, (counts[0] > 0).astype(np.int64)))
+        scores = [model.walk(x, y) for x, y in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
+        ids = held.column("ids").combine_chunks().flatten()
+        n = len(ids)
         return pa.table(
-            [
-                table.column("doc_id"),
-                table.column("held_out"),
-                pa.array(np.diff(bounds), pa.int64()),
-                pa.array(sums[2].astype(np.int64)),
-                pa.array(np.full(n, model.total), pa.int64()),
-                pa.array(sums[0], pa.float64()),
-                pa.array(sums[1], pa.float64()),
-            ],
+            [ids, pa.array(block.held), pa.array(np.diff(b), pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    return blocks.select("ids", *columns).groupBy("block").cogroup(answers.select("kind", "part", "block", "totals").groupBy("block")).applyInArrow(scored, schema)
