@@ -11,124 +11,122 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of signs of numbers; ``running`` takes the latter out.
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Turns that a hash deals rows to.
+_TURNS = 1 << 40
 
 
 class SuffixAutomaton:
-    """Every substring of a text as a path of transitions from the first state."""
+    """Every substring of a text as a path of transitions from the first state.
+
+    Texts are read as UTF-8 bytes, so the alphabet is small in every script. Transitions lie in one list with a row for
+    each state: the number of a state is the place of its row, 0 is the first state and, as a target, no transition.
+    """
 
     def __init__(self, text: str) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        data = text.encode()
+        letters = sorted(set(data))
+        self.codes = bytes(letters.index(c) + 1 if c in letters else 0 for c in range(256))
+        following: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
-        for c in text:
+        for c in data.translate(self.codes):
             now = len(length)
-            self.next.append({})
+            following.append({})
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = now
+            while p >= 0 and c not in following[p]:
+                following[p][c] = now
                 p = link[p]
             if p >= 0:
-                q = self.next[p][c]
+                q = following[p][c]
                 if length[p] + 1 == length[q]:
                     link[now] = q
                 else:
                     clone = len(length)
-                    self.next.append(dict(self.next[q]))
+                    following.append(dict(following[q]))
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
+                    while p >= 0 and following[p].get(c) == q:
+                        following[p][c] = clone
                         p = link[p]
                     link[q] = link[now] = clone
             last = now
-
-    def phrases(self, text: str) -> int:
-        """Longest matches it takes to cover the text; a character never seen is a phrase of its own."""
-        n, states, first = 0, self.next, self.next[0]
-        here = first
-        for c in text:
-            to = here.get(c)
-            if to is None:
+        width = len(letters) + 1
+        self.next = [0] * (width * len(following))
+        for state, to in enumerate(following):
+            for c, q in to.items():
+                self.next[state * width + c] = q * width
+
+    def phrases(self, text: bytes) -> int:
+        """Longest matches it takes to cover the text; a byte never seen is a phrase of its own."""
+        n, here, states = 0, 0, self.next
+        for c in text.translate(self.codes):
+            to = states[here + c]
+            if to:
+                here = to
+            elif here:
                 n += 1
-                to = first.get(c)
-                if to is None:  # an unknown character ends a phrase at once
-                    n += here is not first
-                    here = first
-                    continue
-                n -= here is first
-            here = states[to]
-        return n + (here is not first)
+                here = states[c]
+                n += not here
+            else:
+                n += 1
+        return n + (here > 0)
 
 
 class CrossParser:
-    """Phrase counts of words under each language's automaton, kept for words seen before.
-
-    A phrase never crosses a word's bounds, so a word's counts depend on the word alone and a text's count is a sum over
-    its words. The store of words is emptied when it holds ``max_words``.
-    """
+    """Phrase counts of whole texts under each language's automaton. Phrases run over the bounds of words."""
 
-    def __init__(self, model: dict[str, str], max_words: int = 300_000) -> None:
+    def __init__(self, model: dict[str, str]) -> None:
         self.langs = sorted(model)
         self.automata = [SuffixAutomaton(model[x]) for x in self.langs]
         self.bits = np.array([math.log2(max(2, len(model[x]))) for x in self.langs])
-        self.max_words = max_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.counts = np.zeros((1 << 12, len(self.langs)), np.int32)
-
-    def count(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.at)
-        if len(self.at) + len(new) > self.max_words and self.at:
-            self.clear()
-            new = set(words)
-        for w in new:
-            k = len(self.at)
-            if k == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.counts[k] = [a.phrases(f" {w} ") for a in self.automata]
-            self.at[w] = k
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.counts[at].sum(axis=0, dtype=np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        read = running(text).encode()
+        if not read or not self.langs:
             return "und", 0.0
-        cost = self.count(words) * self.bits / (sum(map(len, words)) + 2 * len(words))
+        cost = np.array([a.phrases(read) for a in self.automata]) * self.bits / len(read)
         best = int(cost.argmin())
         rest = np.delete(cost, best)
         other = float(rest.min()) if len(rest) else 2 * float(cost[best])
         return self.langs[best], other / (float(cost[best]) + other)
 
 
-def learn(docs: DataFrame, lang: Column, text: Column, order: Column, sample_docs: int = 400, model_chars: int = 40_000) -> dict[str, str]:
-    """The text of each language's automaton: its most frequent words in a bounded sample of labelled documents.
+def running(text: str | None) -> str:
+    """The letters of a text in lower case, with one space around each run of them; empty if there is no letter.
+
+    A letter is what ``str.isalpha`` says: signs of numbers such as ½ or Ⅷ are none.
+    """
+    words = _WORDS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return f" {' '.join(words)} " if words else ""
+
+
+def learn(docs: DataFrame, lang: Column, text: Column, order: Column, sample_docs: int = 400, sample_chars: int = 60_000) -> dict[str, str]:
+    """The running text of each language's automaton: whole labelled documents, one after the other.
 
-    At most ``sample_docs`` documents a language, those first by a hash of ``order``; at most ``model_chars`` characters
-    of words, most frequent first. Both bounds hold however large the table is; they bound the automata held by each
-    Python worker.
+    Each language's rows are taken in an order given by a hash of ``order``, those longer than an eighth of
+    ``sample_chars`` after all others, as long as there are no more than ``sample_docs`` of them and their lengths sum up
+    to no more than ``sample_chars``; the first is taken whatever its length. Each row taken is read whole. The bounds
+    hold however large the table is; they bound the automata that each Python worker holds. Rows far down that order are
+    left out before sorting, so that about three times ``sample_docs`` rows of a language meet.
     """
-    spark = docs.sparkSession
-    marked = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("t"), F.xxhash64(order, F.lit(3)).alias("h"))
-    share = marked.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.count("*")).alias("share"))
-    shares = {r["lang"]: r["share"] for r in share.collect()}
-    if not shares:
-        return {}
-    limits = F.broadcast(spark.createDataFrame(list(shares.items()), "lang string, share double"))
-    few = marked.join(limits, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)
-    words = first.select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("w"))
-    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    top = counts.withColumn("chars", F.sum(F.char_length("w") + 1).over(ahead.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= model_chars)
+    own = F.struct((F.char_length(text) > sample_chars // 8).alias("long"), F.pmod(F.xxhash64(order, F.lit(3)), F.lit(_TURNS)).alias("h"))
+    marked = docs.where(lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), text.alias("t"), own.alias("o"))
+    share = marked.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.greatest(F.count_if(~F.col("o.long")), F.lit(1))).alias("share"))
+    limits = F.broadcast(share)
+    few = marked.join(limits, "lang").where(F.col("o.h") < F.col("share") * _TURNS)
+    ahead = Window.partitionBy("lang").orderBy("o", "t")
+    first = few.withColumn("k", F.row_number().over(ahead)).where(F.col("k") <= sample_docs)
+    taken = first.withColumn("chars", F.sum(F.char_length("t")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     model: dict[str, list[tuple[int, str]]] = {}
-    for r in top.collect():
-        model.setdefault(r["lang"], []).append((-r["n"], r["w"]))
-    return {k: " " + " ".join(w for _, w in sorted(v)) + " " for k, v in model.items()}
+    for r in taken.where((F.col("chars") <= sample_chars) | (F.col("k") == 1)).select("lang", "k", "t").collect():
+        model.setdefault(r["lang"], []).append((r["k"], r["t"]))
+    read = {k: "".join(running(t) for _, t in sorted(v)).replace("  ", " ") for k, v in model.items()}
+    return {k: v for k, v in read.items() if v}
 
 
 _parsers: dict[int, CrossParser] = {}
@@ -145,7 +143,7 @@ def _parser(model: dict[str, str]) -> CrossParser:
 def identify(docs: DataFrame, model: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row, from its whole text.
 
-    The language whose automaton covers the text's words with the fewest phrases, each weighed by the bits that name a
+    The language whose automaton covers the text's letters with the fewest phrases, each weighed by the bits that name a
     place in that automaton's text, wins; equal costs go to the language first in the alphabet. ``score`` is the
     runner-up's cost over both costs. A null text, a text without a letter and an empty model give ``und`` and 0.
     Repeated rows and null ids each give a row; other columns are ignored.
