@@ -5,17 +5,16 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import written
+from textloom.operators.mixture import with_position
 
 
 def karmarkar_karp(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,25 +62,60 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return window[:n], sums
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item, none above capacity; the count of windows rises from the least possible until that holds."""
-    total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
-    while True:
+def pack(sizes: np.ndarray, capacity: int, most: int | None = None) -> np.ndarray | None:
+    """Window of each item, none above capacity; the count of windows rises from the least possible until that holds.
+
+    With ``most``, None if that many windows do not hold all either: this is looked at first.
+    """
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    loosest = None
+    if most is not None and most > k:
+        loosest, sums = karmarkar_karp(sizes, most)
+        if sums.max(initial=0) > capacity:
+            return None
+    while loosest is None or k < most:
         window, sums = karmarkar_karp(sizes, k)
         if sums.max(initial=0) <= capacity:
             return window
+        if k == most:
+            return None
         k += max(1, k // 250)
+    return loosest
 
 
+def fill(lengths: np.ndarray, capacity: int, least: float = 0.98, smallest: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start, length, window) of pieces of items no longer than capacity, packed into windows.
+
+    Items are packed whole. Only if that leaves more than a share of 1 - ``least`` empty, although fewer windows would
+    hold all, items longer than half the capacity are cut there, then those longer than a quarter, and so on.
+    """
+    limit = capacity
+    while True:
+        n = np.maximum(1, -(-lengths // limit))
+        item = np.repeat(np.arange(len(lengths)), n)
+        start = (np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)) * limit
+        length = np.minimum(limit, lengths[item] - start)
+        total = int(lengths.sum())
+        most = max(-(-total // capacity), int(total / (least * capacity)))
+        window = pack(length, capacity, most if limit > smallest else None)
+        if window is not None:
+            return item, start, length, window
+        limit //= 2
+
+
+#: A run of blanks that is one token too long for the fast library.
 _LONG_SPACE = re.compile(r"\s{20000}")
 _BREAK = re.compile(r"(?<=\S)(?=\s)")
 
 
 class Encoder:
-    """Byte-level BPE ids of a text. Ranks and JSON hold one vocabulary; texts that are hard on one library take the other.
+    """Byte-level BPE ids of a text, equal to those of the library ``tokenizers`` and its JSON file in every case.
 
-    No pre-token has white space after another character, so long texts are cut before white space that follows one.
+    Ranks and JSON hold one vocabulary. The ranks' library is four times faster, but fails on very long texts and on very
+    long runs of blanks. The pattern's pre-tokens are contractions, runs of letters, of numbers and of other signs, each
+    with at most one blank before it, and runs of blanks; so none has a blank after another character, and a text cut before a
+    blank that follows one has the same pre-tokens, whatever of Unicode's blanks it is (tests go through all of them).
+    Texts with 20,000 blanks in a row take ``tokenizers``.
     """
 
     def __init__(self, ranks_path: str, json_path: str, pattern: str) -> None:
@@ -119,41 +153,43 @@ def encoder(ranks_path: str, json_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, json_path, pattern)
 
 
-def cut(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: whole sequences first, then pieces of at most ``piece`` tokens."""
-    whole = n // capacity * capacity
-    return [(a, capacity) for a in range(0, whole, capacity)] + [(a, min(piece, n - a)) for a in range(whole, n, piece)]
-
+def token_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ids, doc_tokens: as many whole sequences as each document's ids and end id fill, and what is left.
 
-def token_pieces(
-    docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2048, piece: int = 256, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece of every document's ids and its end id."""
+    ids: unsigned 32-bit integers, lowest byte first.
+    """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(kept.dtypes)["doc_id"]
-    names = ("start", "length", "ids_crc32", "doc_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*paths)
         for batch in batches:
-            rows, out = [], []
+            # In steps, so that what leaves at once is some million ids, or one longer text.
+            rows, out, held, size = [], [], [], 0
             for i, x in enumerate(batch.column("text")):
                 ids = np.append(enc.ids(x.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for start, length in cut(len(ids), capacity, piece):
+                for start in range(0, len(ids), capacity):
+                    part = ids[start : start + capacity]
                     rows.append(i)
-                    out.append((start, length, zlib.crc32(ids[start : start + length]), len(ids)))
-            cols = np.array(out, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c) for c in cols]], ["doc_id", *names])
+                    out.append((start, len(part), len(ids)))
+                    held.append(part.tobytes())
+                size += len(ids)
+                if size > 2_000_000 or i + 1 == len(batch):
+                    start, length, tokens = np.array(out, np.int64).reshape(-1, 3).T
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(start), pa.array(length), pa.array(held, pa.binary()), pa.array(tokens)],
+                        ["doc_id", "start", "length", "ids", "doc_tokens"],
+                    )
+                    rows, out, held, size = [], [], [], 0
 
-    return kept.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{x} long" for x in names))
+    return kept.mapInArrow(run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
 
 
 def pack_documents(
     docs: DataFrame,
     paths: tuple[str, str, str],
     capacity: int = 2048,
-    piece: int = 256,
-    group: int = 8192,
+    group: int = 4096,
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -161,35 +197,44 @@ def pack_documents(
     """Packs the tokens of all documents into sequences of at most ``capacity`` tokens; a row for each piece.
 
     ``paths``: the tokenizer's rank file, its JSON file, its pre-token pattern. A document's ids end with ``end_id``. As
-    many whole sequences as it fills are sequences of their own; the rest is cut into pieces of at most ``piece`` tokens.
-    Pieces are dealt by hash into groups of about ``group``; each group is split by Karmarkar-Karp differencing into the
-    fewest windows, and the count rises while a window exceeds the capacity. So no task holds more than some thousand
-    piece lengths. Sequences are padded to ``capacity``, or not at all where their length is a power of two.
-
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to. A null text is an empty one
-    and has the end id alone. Null ids and repeated rows are documents like any other. An empty table gives an empty
-    result; other columns are ignored.
+    many whole sequences as it fills are sequences of their own. What is left of each document is ordered by a hash of id
+    and ids, and each ``group`` of neighbours in that order is split by Karmarkar-Karp differencing into the fewest
+    windows; the count rises while a window exceeds the capacity. Remainders stay whole unless that wastes room
+    (``fill``). So no task holds more than ``group`` remainders. Sequences are padded to ``capacity``, or not at all where
+    their length is a power of two.
+
+    Returns doc_id, start, length, ids (binary: unsigned 32-bit, lowest byte first), doc_tokens, sequence_id, offset,
+    padded_to. Sequence ids do not depend on how the rows are partitioned. A null text is an empty one and has the end
+    id alone. Null ids and repeated rows are documents like any other; equal rows may change places with each other. An
+    empty table gives an empty result; other columns are ignored.
     """
-    pieces = written(
-        token_pieces(docs, paths, capacity, piece, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pack-pieces"
-    )
+    pieces = token_pieces(docs, paths, capacity, end_id, id_col, text_col)
+    pieces = pieces.withColumns({"h": F.xxhash64("doc_id", "start", "ids"), "row": F.monotonically_increasing_id(), "whole": F.col("length") == capacity})
+    placed = with_position(written(pieces, "pack-pieces"), "whole", "h", "doc_id", "start", "row").drop("h", "row")
     id_type = dict(pieces.dtypes)["doc_id"]
-    rest = pieces.where(F.col("length") < capacity)
-    n_groups = max(1, -(-rest.count() // group))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row", ignore_index=True)
-        window = pack(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = pdf["g"] * (1 << 32) + window
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        sums = pdf.groupby("sequence_id")["length"].transform("sum")
-        pdf["padded_to"] = np.where(sums & (sums - 1), capacity, sums)
-        return pdf[columns]
-
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"]
-    schema = f"doc_id {id_type}, " + ", ".join(f"{x} long" for x in columns[1:])
-    packed = rest.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(n_groups))).groupBy("g").applyInPandas(run, schema)
-    whole = pieces.where(F.col("length") == capacity).select(
-        *columns[:5], (F.col("row") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("padded_to")
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("pos")
+        lengths = table.column("length").to_numpy()
+        item, start, length, window = fill(lengths, capacity)
+        order = np.lexsort((start, item, window))
+        item, start, length, window = item[order], start[order], length[order], window[order]
+        sums = np.bincount(window, length).astype(np.int64)
+        before = np.cumsum(length) - length
+        offset = before - before[np.searchsorted(window, window)]
+        ids = table.column("ids").to_pylist()
+        cut = [ids[i][4 * a : 4 * (a + n)] for i, a, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)]
+        take = lambda c: table.column(c).take(pa.array(item))
+        padded = np.where(sums & (sums - 1), capacity, sums)[window]
+        sequence = table.column("g")[0].as_py() * (1 << 32) + window
+        return pa.table(
+            [take("doc_id"), pa.array(take("start").to_numpy() + start), pa.array(length), pa.array(cut, pa.binary()), take("doc_tokens"), pa.array(sequence), pa.array(offset), pa.array(padded)], columns
+        )
+
+    schema = f"doc_id {id_type}, " + ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in columns[1:])
+    rest = placed.where(~F.col("whole")).drop("whole").withColumn("g", F.floor(F.col("pos") / group))
+    whole = placed.where("whole").select(
+        *columns[:5], (F.col("pos") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("padded_to")
     )
-    return packed.unionByName(whole)
+    return rest.groupBy("g").applyInArrow(run, schema).unionByName(whole)

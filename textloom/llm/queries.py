@@ -116,7 +116,8 @@ def tokenizer_paths() -> tuple[str, str, str]:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.packing import pack_documents
 
-    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_paths())
+    packed = pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_paths())
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
