@@ -57,7 +57,7 @@ def base_spans(t: str) -> list[Span]:
     """Spans of the fixed patterns, by start, then kind."""
     found = list(_emails(t)) if "@" in t else []
     if _DIGIT.search(t):
-        found += [("ip", *m.span()) for m in _IP.finditer(t) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(t) if all(len(n := x.lstrip("0")) <= 3 and int(n or "0") <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(t):
             if m.end() - m.start() >= 12 and 12 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append(("card", *m.span()))
@@ -283,9 +283,12 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return move, first
 
 
-def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Field:
-    """Maximises the conditional log likelihood of the table by adaptive gradient steps; forward-backward in one batch."""
-    names: dict[str, int] = {"": 0}
+def _laid_out(table: list[tuple[str, list[Span]]], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature ids and tags of all tokens of the table, and how many rows have a token at each place.
+
+    Tokens lie by place first, then by row, longest rows first: those at one place are neighbours, and the rows that go on
+    are the first of them. New features are added to ``names``.
+    """
     rows = []
     for text, spans in table:
         toks = list(_TOKEN.finditer(text))
@@ -296,43 +299,58 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0
             tags[own] = _TAGS.index(f"I-{kind}")
             tags[own[0]] = _TAGS.index(f"B-{kind}")
         rows.append(([[names.setdefault(f, len(names)) for f in x] for x in fs], tags))
-    width, n = len(rows[0][0][0]), len(_TAGS)
-    longest = max(len(t) for _, t in rows)
-    ids, gold, live = np.zeros((len(rows), longest, width), np.int32), np.zeros((len(rows), longest), np.int64), np.zeros((len(rows), longest), bool)
-    for i, (x, t) in enumerate(rows):
-        ids[i, : len(t)], gold[i, : len(t)], live[i, : len(t)] = x, t, True
+    rows.sort(key=lambda r: -len(r[1]))
+    live = np.array([sum(len(t) > k for _, t in rows) for k in range(len(rows[0][1]))])
+    at = [(i, k) for k, m in enumerate(live) for i in range(m)]
+    return np.array([rows[i][0][k] for i, k in at], np.int32), np.array([rows[i][1][k] for i, k in at]), live
+
+
+def gradient(ids: np.ndarray, gold: np.ndarray, live: np.ndarray, emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log likelihood of the tags given the features: what was seen less what forward-backward expects."""
+    begin = np.cumsum(live) - live
+    m, n = np.exp(move), len(first)
+    score = emit[ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        score += emit[ids[:, k]]
+    e = np.exp(score - score.max(axis=1, keepdims=True))
+    # Chances ahead of and behind each token, scaled to sum to 1 at each: only their products' shares are needed.
+    ahead, behind = np.empty_like(e), np.ones_like(e)
+    for t, k in enumerate(live):
+        now = slice(begin[t], begin[t] + k)
+        ahead[now] = e[now] * (ahead[begin[t - 1] : begin[t - 1] + k] @ m if t else np.exp(first))
+        ahead[now] /= ahead[now].sum(axis=1, keepdims=True)
+    for t in range(len(live) - 1, 0, -1):
+        now, then = slice(begin[t], begin[t] + live[t]), slice(begin[t - 1], begin[t - 1] + live[t])
+        behind[then] = (e[now] * behind[now]) @ m.T
+        behind[then] /= behind[then].sum(axis=1, keepdims=True)
+    share = ahead * behind
+    share /= share.sum(axis=1, keepdims=True)
+    diffs = np.eye(n)[gold] - share
+    d_emit, d_move = np.empty_like(emit), np.zeros_like(move)
+    for t in range(1, len(live)):
+        now, then = slice(begin[t], begin[t] + live[t]), slice(begin[t - 1], begin[t - 1] + live[t])
+        b = e[now] * behind[now]
+        z = ((ahead[then] @ m) * b).sum(axis=1, keepdims=True)
+        d_move -= m * ((ahead[then] / z).T @ b)
+        np.add.at(d_move, (gold[then], gold[now]), 1.0)
+    flat, width = ids.ravel(), ids.shape[1]
+    for k in range(n):
+        d_emit[:, k] = np.bincount(flat, np.repeat(diffs[:, k], width), len(emit))
+    return d_emit, d_move, diffs[: live[0]].sum(axis=0)
+
+
+def train(table: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Field:
+    """Maximises the conditional log likelihood of the table by adaptive gradient steps over the whole table."""
+    names: dict[str, int] = {"": 0}
+    ids, gold, live = _laid_out(table, names)
+    n = len(_TAGS)
     fixed_move, fixed_first = _allowed()
     emit, move, first = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n)
     sums = [np.full_like(x, 1e-6) for x in (emit, move, first)]
-    one = np.eye(n)
     for _ in range(rounds):
-        m, s = np.exp(move + fixed_move), np.exp(first + fixed_first)
-        score = emit[ids].sum(axis=2)
-        e = np.exp(score - score.max(axis=2, keepdims=True))
-        # Chances ahead of and behind each token, scaled to sum to 1 at each: only their products' shares are needed.
-        ahead, behind = np.zeros_like(e), np.ones_like(e)
-        ahead[:, 0] = s * e[:, 0]
-        for t in range(longest):
-            if t:
-                ahead[:, t] = np.where(live[:, t, None], (ahead[:, t - 1] @ m) * e[:, t], ahead[:, t - 1])
-            ahead[:, t] /= ahead[:, t].sum(axis=1, keepdims=True)
-        for t in range(longest - 1, 0, -1):
-            back = (e[:, t] * behind[:, t]) @ m.T
-            behind[:, t - 1] = np.where(live[:, t, None], back / back.sum(axis=1, keepdims=True), behind[:, t])
-        share = ahead * behind
-        share /= share.sum(axis=2, keepdims=True)
-        diffs = (one[gold] - share) * live[:, :, None]
-        d_emit, d_move, d_first = np.zeros_like(emit), np.zeros_like(move), diffs[:, 0].sum(axis=0)
-        for t in range(1, longest):
-            on = live[:, t]
-            a, b = ahead[on, t - 1], e[on, t] * behind[on, t]
-            z = ((a @ m) * b).sum(axis=1, keepdims=True)
-            d_move -= m * ((a / z).T @ b)
-            np.add.at(d_move, (gold[on, t - 1], gold[on, t]), 1.0)
-        for k in range(n):
-            d_emit[:, k] = np.bincount(ids.ravel(), np.repeat(diffs[:, :, k].ravel(), width), len(names))
-        for x, d, g in ((emit, d_emit, sums[0]), (move, d_move, sums[1]), (first, d_first, sums[2])):
-            d = d - decay * len(rows) * x
+        found = gradient(ids, gold, live, emit, move + fixed_move, first + fixed_first)
+        for x, d, g in zip((emit, move, first), found, sums, strict=True):
+            d = d - decay * len(table) * x
             g += d * d
             x += rate * d / np.sqrt(g)
         emit[0] = 0.0
@@ -443,7 +461,7 @@ class _Scorer:
                 paths = best[:m, None, :] + move
                 pick = paths.argmax(axis=2)
                 back[offs[:m] + t] = pick
-                best[:m] = np.take_along_axis(paths, pick[:, :, None], 2)[:, :, 0] + now
+                best[:m] = paths.max(axis=2) + now
             else:
                 best[:m] = now + self.first
         tag = best.argmax(axis=1)
@@ -514,13 +532,17 @@ def detect(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
     Base spans are those of the four fixed patterns; the field adds spans of secrets, national ids, account numbers,
     local phone numbers, names, addresses and user names. With ``mask`` a further column ``masked`` has the text with each span replaced by its kind in
     angle brackets (overlapping spans become one). A null text has no spans and stays null. Null ids and repeated rows
-    each give a row; an empty table gives an empty result; columns not named are ignored.
+    each give a row; an empty table gives an empty result; columns not named are ignored. A column in ``keep`` that has a
+    name of the result raises.
     """
     field = field or default_field()
+    added = ["base", "spans", *(["masked"] if mask else [])]
+    if clash := {*added, "__text"} & set(keep):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     kept = docs.select(*([F.col(id_col).alias("doc_id")] if not keep else keep), F.col(text_col).alias("__text"))
-    schema = kept.drop("__text").schema.add("base", "string").add("spans", "string")
-    if mask:
-        schema = schema.add("masked", "string")
+    schema = kept.drop("__text").schema
+    for name in added:
+        schema = schema.add(name, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

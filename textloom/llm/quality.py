@@ -110,8 +110,11 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     """doc_id, the columns in ``keep``, and ``score`` of every row of docs, from its whole text alone.
 
     A null text scores as an empty one. Without a model (no labelled row of one class) every score is 0.5. Null ids and
-    repeated rows each give a row; an empty table gives an empty result; columns not named are ignored.
+    repeated rows each give a row; an empty table gives an empty result; columns not named are ignored. A column in
+    ``keep`` that has a name of the result raises.
     """
+    if clash := {"score", "__text"} & set(keep):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     kept = docs.select(*([F.col(id_col).alias("doc_id")] if not keep else keep), F.col(text_col).alias("__text"))
     schema = kept.drop("__text").schema.add("score", "double")
 
