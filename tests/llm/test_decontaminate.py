@@ -66,3 +66,18 @@ def test_long_text_and_hot_passage(spark):
     passage = " ".join(f"p{k}" for k in range(30))
     docs = [(i, passage) for i in range(300)] + [(500, " ".join(f"w{r.randrange(50)}" for _ in range(30000)) + " " + passage)]
     check(spark, docs, [(1, passage)])
+
+
+def test_a_passage_of_many_items_and_of_many_documents(spark):
+    """Both join paths; the passage's windows are looked for once, whatever the number of items that hold them."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    docs = [(i, f"x{i} {passage} y{i}") for i in range(120)] + [(900, "p0 p1 p2"), (901, f"{passage} {passage}")]
+    items = [(i, passage if i % 2 else f"{passage} z{i}") for i in range(400)] + [(999, "p1 p2 p3")]
+    check(spark, docs, items)
+    check(spark, docs, items, broadcast_windows=0)
+
+
+def test_real_table_equals_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
+    check(spark, [tuple(r) for r in d.select("doc_id", "text").collect()][:60], items, broadcast_windows=0)
