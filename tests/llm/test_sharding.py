@@ -51,3 +51,19 @@ def test_shards(spark):
 
 def test_empty(spark):
     assert shard_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_on_a_real_table_equals_the_rule(spark):
+    """Whole result of the query: sizes, checksums, groups together, loads as the rule gives them, slots without gaps."""
+    from textloom.llm.queries import op6_sharding
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas().set_index("doc_id").text
+    got = op6_sharding(spark, "/root/testdata/sf0.001").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.index) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+    text = [docs[i] or "" for i in got.doc_id]
+    assert got["size"].tolist() == [len(t.encode()) + 8 for t in text] and got.text_crc32.tolist() == [zlib.crc32(t.encode()) for t in text]
+    assert (got.assign(t=text).groupby("t").shard.nunique() == 1).all()
+    loads = brute(got.assign(t=text).groupby("t")["size"].sum().tolist(), 24)
+    assert sorted(got.groupby("shard")["size"].sum().reindex(range(24), fill_value=0)) == loads
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
