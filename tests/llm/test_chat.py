@@ -42,6 +42,22 @@ def test_rewritten_history_is_found():
     assert not locate(last_thought, [("user", "hi"), ("assistant", "yes")])[2]
 
 
+def test_rewritten_history_over_many_turns_equals_whole_prefixes():
+    """Templates that drop earlier thoughts, or hold a count in front, over more turns than two blocks."""
+
+    def last_thought(turns):
+        return "".join(f"[{r}]{t if k == len(turns) - 1 else t.split('|')[-1]};" for k, (r, t) in enumerate(turns))
+
+    def counted_in_front(turns):
+        return f"{len(turns) // 300}>" + "".join(f"{r}:{t};" for r, t in turns)
+
+    turns = [("user" if k % 2 else "assistant", f"t{k}" if k % 3 else f"why {k}|t{k}") for k in range(600)]
+    for template in (last_thought, counted_in_front):
+        assert locate(template, turns, block=64) == locate(template, turns, block=600)
+        assert locate(template, turns)[0] == template(turns)
+    assert locate(last_thought, turns)[2] and locate(counted_in_front, turns)[2]
+
+
 def test_far_looking_template_falls_back():
     def counted(turns):
         return "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
@@ -58,6 +74,8 @@ def test_conversations(spark):
     assert out[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\nassistant\nc\nassistant\nc\n").hexdigest()
     assert out[1].loss_sha256 == hashlib.sha256(b"bcc").hexdigest()
     assert out[2].loss_chars == 0 and out[None].loss_chars == 1
+    lost = [(None, 0, "user", f"n{k}", "x") for k in range(40)]
+    assert sorted(r.n_turns for r in format_conversations(spark.createDataFrame(lost, SCHEMA)).transform(chat_digests).collect()) == [1] * 40
 
 
 def test_empty(spark):

@@ -13,7 +13,6 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 SPANS = "array<struct<turn:int,role:string,start:int,end:int,text_start:int,text_end:int>>"
-_BLOCK = 256
 
 
 def escape(text: str) -> str:
@@ -53,68 +52,55 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _pieces(template: Template, turns: list[Turn], block: int) -> tuple[list[tuple[str, int]], list[int]]:
-    """What each turn adds to the output of the turns before it: (text, characters of the earlier output still in place).
+def _pieces(template: Template, turns: list[Turn], block: int, whole: str) -> list[tuple[int, int, int, int]] | None:
+    """(start, end, head, tail) of each turn when it is the newest: its span, and what stands there before and behind its text.
 
-    Each turn is rendered after all turns of its block and of the block before it, so the work is linear in the turns.
+    Each turn is rendered after all turns of its block and of the block before it: itself, and with two one-letter texts.
+    The pieces are put together, and must equal the whole rendering at the begin of each block and at the end; None if
+    they don't, as with a template that looks further back.
     """
-    found, heads = [], []
+    found, out = [], ""
     for first in range(0, len(turns), block):
+        if first and out != template(turns[:first]):
+            return None
         context = turns[max(0, first - block) : first]
         before = template(context) if context else ""
         for k in range(first, min(first + block, len(turns))):
-            seen = context + turns[first:k]
-            now = template([*seen, turns[k]])
+            seen, role = context + turns[first:k], turns[k][0]
+            now, a, b = (template([*seen, (role, t)]) for t in (turns[k][1], "a", "b"))
             same = len(before) if now.startswith(before) else _common(before, now)
-            found.append((now[same:], same - len(before)))
-            role = turns[k][0]
-            a, b = template([*seen, (role, "a")]), template([*seen, (role, "b")])
-            heads.append(max(0, _common(a, b) - same))
+            start = max(0, len(out) + same - len(before))
+            out = out[:start] + now[same:]
+            found.append((start, len(out), max(0, _common(a, b) - same), _common(a[::-1], b[::-1])))
             before = now
-    return found, heads
+    return found if out == whole else None
 
 
-def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, str, int, int, int, int]], bool]:
+def locate(template: Template, turns: list[Turn], block: int = 256) -> tuple[str, list[tuple[int, str, int, int, int, int]], bool]:
     """The formatted conversation, a span for each turn, and whether the template rewrites history.
 
     Successive prefixes are rendered and consecutive outputs compared: what turn k adds to the output of turns 0 to k-1
     is its span. Rendering the last turn with two one-letter texts shows where its text starts, and its end follows from
     what stands behind that letter. If a longer prefix changes what stood before, history is rewritten: spans past the
     first changed character no longer hold and are cut there, and the span of the newest turn begins at that character.
-    Long conversations are rendered in blocks; if the joined pieces differ from one whole rendering, as they do for a
-    template that looks further back, all prefixes are rendered whole.
+    So that the work is linear in the turns, a prefix starts one block before the turn's own block; where that does not give
+    the whole prefixes, all are rendered whole.
     """
     if not turns:
         return "", [], False
     whole = template(turns)
-    for block in (_BLOCK, len(turns)):
-        pieces, heads = _pieces(template, turns, block)
-        kept, spans, rewrites = 0, [], False
-        for k, ((text, cut), head) in enumerate(zip(pieces, heads, strict=True)):
-            start = max(0, kept + cut)
-            if cut < 0:
-                rewrites = True
-                spans = [(t, r, min(s, start), min(e, start), min(a, start), min(z, start)) for t, r, s, e, a, z in spans]
-            kept = start + len(text)
-            role, own = turns[k]
-            tail = _tail(template, turns, k, block)
-            a = min(start + head, kept)
-            spans.append((k, role, start, kept, a, max(a, kept - tail)))
-        if kept == len(whole) and (rewrites or "".join(t for t, _ in pieces) == whole):
-            break
-        if len(turns) <= _BLOCK:
-            break
+    pieces = _pieces(template, turns, block, whole) or _pieces(template, turns, len(turns), whole) or []
+    spans, rewrites, kept = [], False, 0
+    for k, (start, end, head, tail) in enumerate(pieces):
+        if start < kept:
+            rewrites = True
+            spans = [(t, r, min(s, start), min(e, start), min(a, start), min(z, start)) for t, r, s, e, a, z in spans]
+        a = min(start + head, end)
+        spans.append((k, turns[k][0], start, end, a, max(a, end - tail)))
+        kept = end
     return whole, spans, rewrites
 
 
-def _tail(template: Template, turns: list[Turn], k: int, block: int) -> int:
-    """Characters behind the text of turn k in the output that ends with it."""
-    first = k // block * block
-    seen, role = turns[max(0, first - block) : k], turns[k][0]
-    a, b = template([*seen, (role, "a")])[::-1], template([*seen, (role, "b")])[::-1]
-    return _common(a, b)
-
-
 def format_conversations(
     turns: DataFrame,
     template: Template = marked_turns,
@@ -128,8 +114,8 @@ def format_conversations(
 
     ``spans`` has each turn's place in ``formatted`` in code points, and the place of its text inside; ``loss_spans`` has
     (start, end) of the texts of ``loss_roles``. Turns are ordered by turn number, role and text, nulls first, so ties
-    and repeated rows have a fixed order and all count. A null text or role is empty. Rows without a conversation id form
-    one conversation with a null id. An empty table gives an empty result; other columns are ignored. A conversation is
+    and repeated rows have a fixed order and all count. A null text or role is empty. Nothing tells
+    which rows without a conversation id belong together, so each is a conversation of its own with a null id. An empty table gives an empty result; other columns are ignored. A conversation is
     one output string, so its turns meet in one task; nothing else does.
     """
     kept = turns.select(
@@ -138,7 +124,8 @@ def format_conversations(
             F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
         ).alias("t"),
     )
-    grouped = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    grouped = kept.withColumn("own", own).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("own")
     id_type = dict(grouped.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
