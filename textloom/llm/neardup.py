@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import written
 from textloom.operators.components import components
 from textloom.llm.hashing import mix, shingle_hashes, text_chunks, word_hashes
+from textloom.plans.skew import hot_cells, skew_join
 
 #: 32 bands of 5 minima: a pair at similarity 0.8 shares no band once in 300,000 times, a pair at 0.2 shares one in 100.
 BANDS, ROWS, BITS = 32, 5, 2
@@ -116,7 +117,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = written(_texts(ends, reps, docs, id_col, text_col), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    both = skew_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a", hot_cells(pairs, "a"))
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +155,18 @@ def common_counts(sets: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
 def _across(loose: DataFrame, sets: DataFrame, threshold: int, block: int, block_shingles: int = 1_000_000) -> DataFrame:
     """Links between different components inside a bucket: a spanning set of them, never all pairs.
 
-    loose: bucket, n, weight, id, root. A bucket is dealt into blocks of about ``block`` members, and of no more than
-    about ``block_shingles`` shingles; each two blocks meet in one group, where exact intersections come from matrix
-    products. So a bucket of any size is covered, in bounded tasks.
+    loose: bucket, id, root, and of its bucket: the largest component (``main``), and members and shingles in it (n_main,
+    w_main) and outside (n_rest, w_rest). Members in and outside of the largest component are dealt into blocks of about
+    ``block`` members, and of no more than about ``block_shingles`` shingles; each two blocks, but not two of the largest
+    component, meet in one group, where exact intersections come from matrix products. So a bucket of any size is covered
+    in bounded tasks, and a large group of copies costs as often as there are blocks outside of it.
     """
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / block_shingles)).cast("int")
-    own = F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int")
-    dealt = loose.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    blocks = lambda n, w: F.ceil(F.greatest(F.col(n) / block, F.col(w) / block_shingles)).cast("int")
+    deal = lambda k: F.pmod(F.xxhash64("id", "bucket"), F.greatest(F.col(k), F.lit(1))).cast("int")
+    parted = loose.withColumns({"inside": F.col("root") == F.col("main"), "k": blocks("n_main", "w_main"), "m": blocks("n_rest", "w_rest")})
+    own = F.when(F.col("inside"), deal("k")).otherwise(F.col("k") + deal("m"))
+    others = F.sequence(F.when(F.col("inside"), F.col("k")).otherwise(0), F.col("k") + F.col("m") - 1)
+    dealt = parted.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root").join(sets, "id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -229,21 +236,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
     )
     placed = reps.select("id", F.explode("bands").alias("bucket"))
     crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    together = written(placed.join(crowded, "bucket"), "together")
+    hot = written(hot_cells(placed, "bucket"), "hot")
+    together = written(skew_join(placed, crowded, "bucket", hot), "together")
     # The row that shares buckets with most others is likeliest to be what the others were copied from.
     degree = together.groupBy("id").agg(F.sum("n").alias("degree"))
     centre = together.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("m")).select("bucket", (-F.col("m.less")).alias("first"))
-    members = written(together.join(centre, "bucket"), "members")
-    sig = reps.select("id", "sig", "n_shingles")
+    members = written(skew_join(together, centre, "bucket", hot), "members")
+    side = lambda key, name: reps.select(F.col("id").alias(key), F.struct("sig", "n_shingles").alias(name))
     stars = members.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sig.alias("x"), F.col("a") == F.col("x.id")).join(sig.alias("y"), F.col("b") == F.col("y.id")).where(_may_match("x", "y", threshold)).select("a", "b")
+    stars = skew_join(stars, side("a", "x"), "a", hot_cells(stars, "a")).join(side("b", "y"), "b").where(_may_match("x", "y", threshold)).select("a", "b")
     links = written(_confirmed(stars, reps, docs, shingle, threshold, id_col, text_col), "links")
     roots = written(components(links), "roots")
 
     rest = members.where("n > 2").join(reps.select("id", "n_shingles"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n_shingles").alias("weight"))
-    mixed = spread.where("low <> high").select("bucket", "weight")
-    loose = written(rest.where(F.col("id") != F.col("first")).join(mixed, "bucket").select("bucket", "n", "weight", "id", "root"), "loose")
+    of_root = rest.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
+    of_bucket = of_root.groupBy("bucket").agg(F.max(F.struct("c", "root", "w")).alias("big"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("roots"))
+    mixed = of_bucket.where("roots > 1").select(
+        "bucket", F.col("big.root").alias("main"), F.col("big.c").alias("n_main"), F.col("big.w").alias("w_main"), (F.col("c") - F.col("big.c")).alias("n_rest"), (F.col("w") - F.col("big.w")).alias("w_rest")
+    )
+    loose = written(skew_join(rest.where(F.col("id") != F.col("first")).select("bucket", "id", "root"), mixed, "bucket", hot), "loose")
     sets = _texts(loose.select("id").distinct(), reps, docs, id_col, text_col).mapInArrow(_packed_sets(shingle), "id long, shingles binary")
     extra = written(_across(loose, written(sets, "sets"), threshold, block), "links")
     if extra.limit(1).count():
