@@ -189,7 +189,7 @@ _KEYWORDS = frozenset(
 _LISTED = dict.fromkeys(FIRST_NAMES, "<first>") | dict.fromkeys(_STREETS, "<street>")
 _TAGS = ("O", *[f"{p}-{k}" for k in KINDS[4:] for p in "BI"])
 #: Tokens that are decoded at once: bounds memory, not what is read.
-_AT_ONCE = 200_000
+_AT_ONCE = 500_000
 
 
 def shape(w: str) -> str:
@@ -435,14 +435,15 @@ class _Scorer:
         for t in texts:
             toks = _PIECE.findall(t)
             codes = np.fromiter(map(self.codes.__getitem__, toks), np.int64, len(toks))
-            ends = np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)))
+            sizes = np.fromiter(map(len, toks), np.int64, len(toks))
+            ends = np.cumsum(sizes)
             on = codes >= 0
             before = np.zeros(len(toks), np.int64)
             before[1:] = ~on[:-1]
             before, stops = before[on], ends[on]
             if len(before):
                 before[0] = 0
-            bounds.append((stops - np.fromiter((len(w) for w, x in zip(toks, on) if x), np.int64, len(stops)), stops))
+            bounds.append((stops - sizes[on], stops))
             begin.append(at + 3)
             parts += [edge, codes[on], edge + 1]
             gaps += [none, before, none]
@@ -455,13 +456,14 @@ class _Scorer:
         back = np.zeros(score.shape, np.int8)
         counts = np.searchsorted(-live, -np.arange(1, (live[0] if len(live) else 0) + 1), side="right")  # texts longer than t
         move = np.ascontiguousarray(self.move.T)[None]
+        rows = np.arange(best.size) * best.shape[1]  # where each text's and tag's paths begin
         for t, m in enumerate(counts):
             now = score[offs[:m] + t]
             if t:
                 paths = best[:m, None, :] + move
                 pick = paths.argmax(axis=2)
                 back[offs[:m] + t] = pick
-                best[:m] = paths.max(axis=2) + now
+                best[:m] = paths.reshape(-1)[rows[: pick.size] + pick.reshape(-1)].reshape(now.shape) + now
             else:
                 best[:m] = now + self.first
         tag = best.argmax(axis=1)
