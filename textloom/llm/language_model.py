@@ -226,7 +226,7 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     masses: tuple[float, float] = MASSES,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_000_000,
     range_keys: int = 2_000_000,
 ) -> DataFrame:
     """Scores every row under an automaton of order 3 learnt from the rows where ``held_out`` is not true.
