@@ -105,7 +105,7 @@ def running(text: str | None) -> str:
     return f" {' '.join(words)} " if words else ""
 
 
-def learn(docs: DataFrame, lang: Column, text: Column, order: Column, sample_docs: int = 400, sample_chars: int = 60_000) -> dict[str, str]:
+def learn(docs: DataFrame, lang: Column, text: Column, order: Column, sample_docs: int = 400, sample_chars: int = 20_000) -> dict[str, str]:
     """The running text of each language's automaton: whole labelled documents, one after the other.
 
     Each language's rows are taken in an order given by a hash of ``order``, those longer than an eighth of
