@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +154,20 @@ def encoder(ranks_path: str, json_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, json_path, pattern)
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Unsigned 32-bit ids by planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def opened(code: bytes) -> bytes:
+    """The ids, lowest byte first."""
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(code), np.uint8).reshape(4, -1).T).tobytes()
+
+
 def token_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens: as many whole sequences as each document's ids and end id fill, and what is left.
+    """doc_id, start, length, code, doc_tokens: as many whole sequences as each document's ids and end id fill, and what is left.
 
-    ids: unsigned 32-bit integers, lowest byte first.
+    code: the ids compressed (``squeezed``), a third of their size where they are stored and shuffled.
     """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(kept.dtypes)["doc_id"]
@@ -172,17 +183,17 @@ def token_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int = 2
                     part = ids[start : start + capacity]
                     rows.append(i)
                     out.append((start, len(part), len(ids)))
-                    held.append(part.tobytes())
+                    held.append(squeezed(part))
                 size += len(ids)
                 if size > 2_000_000 or i + 1 == len(batch):
                     start, length, tokens = np.array(out, np.int64).reshape(-1, 3).T
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(start), pa.array(length), pa.array(held, pa.binary()), pa.array(tokens)],
-                        ["doc_id", "start", "length", "ids", "doc_tokens"],
+                        ["doc_id", "start", "length", "code", "doc_tokens"],
                     )
                     rows, out, held, size = [], [], [], 0
 
-    return kept.mapInArrow(run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
+    return kept.mapInArrow(run, f"doc_id {id_type}, start long, length long, code binary, doc_tokens long")
 
 
 def pack_documents(
@@ -209,32 +220,37 @@ def pack_documents(
     empty table gives an empty result; other columns are ignored.
     """
     pieces = token_pieces(docs, paths, capacity, end_id, id_col, text_col)
-    pieces = pieces.withColumns({"h": F.xxhash64("doc_id", "start", "ids"), "row": F.monotonically_increasing_id(), "whole": F.col("length") == capacity})
-    placed = with_position(written(pieces, "pack-pieces"), "whole", "h", "doc_id", "start", "row").drop("h", "row")
+    pieces = pieces.withColumns({"h": F.xxhash64("doc_id", "start", "code"), "row": F.monotonically_increasing_id(), "whole": F.col("length") == capacity})
+    pieces = written(pieces, "pack-pieces")
+    # Lengths alone are ordered and packed; the ids are shuffled once, when their places are known.
+    placed = with_position(pieces.select("whole", "h", "doc_id", "start", "row", "length"), "whole", "h", "doc_id", "start", "row")
     id_type = dict(pieces.dtypes)["doc_id"]
-    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"]
+    found = ["row", "cut", "n", "sequence_id", "offset", "padded_to"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("pos")
-        lengths = table.column("length").to_numpy()
-        item, start, length, window = fill(lengths, capacity)
+        item, start, length, window = fill(table.column("length").to_numpy(), capacity)
         order = np.lexsort((start, item, window))
         item, start, length, window = item[order], start[order], length[order], window[order]
         sums = np.bincount(window, length).astype(np.int64)
         before = np.cumsum(length) - length
         offset = before - before[np.searchsorted(window, window)]
-        ids = table.column("ids").to_pylist()
-        cut = [ids[i][4 * a : 4 * (a + n)] for i, a, n in zip(item.tolist(), start.tolist(), length.tolist(), strict=True)]
-        take = lambda c: table.column(c).take(pa.array(item))
         padded = np.where(sums & (sums - 1), capacity, sums)[window]
         sequence = table.column("g")[0].as_py() * (1 << 32) + window
-        return pa.table(
-            [take("doc_id"), pa.array(take("start").to_numpy() + start), pa.array(length), pa.array(cut, pa.binary()), take("doc_tokens"), pa.array(sequence), pa.array(offset), pa.array(padded)], columns
-        )
+        return pa.table([pa.array(x) for x in (table.column("row").to_numpy()[item], start, length, sequence, offset, padded)], found)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [opened(c)[4 * a : 4 * (a + n)] for c, a, n in zip(*(batch.column(x).to_pylist() for x in ("code", "cut", "n")), strict=True)]
+            rest = [batch.column(x) for x in ("doc_id", "start", "n", "doc_tokens", "sequence_id", "offset", "padded_to")]
+            rest.insert(3, pa.array(ids, pa.binary()))
+            yield pa.RecordBatch.from_arrays(rest, columns)
 
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"]
+    rest = placed.where(~F.col("whole")).select("row", "length", "pos", F.floor(F.col("pos") / group).alias("g"))
+    packed = rest.groupBy("g").applyInArrow(run, ", ".join(f"{x} long" for x in found))
+    zero = F.lit(0).cast("long")
+    whole = placed.where("whole").select("row", zero.alias("cut"), F.col("length").alias("n"), (F.col("pos") + F.lit(1 << 62)).alias("sequence_id"), zero.alias("offset"), F.lit(capacity).cast("long").alias("padded_to"))
+    both = pieces.select("row", "doc_id", "start", "code", "doc_tokens").join(packed.unionByName(whole), "row").withColumn("start", F.col("start") + F.col("cut"))
     schema = f"doc_id {id_type}, " + ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in columns[1:])
-    rest = placed.where(~F.col("whole")).drop("whole").withColumn("g", F.floor(F.col("pos") / group))
-    whole = placed.where("whole").select(
-        *columns[:5], (F.col("pos") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("padded_to")
-    )
-    return rest.groupBy("g").applyInArrow(run, schema).unionByName(whole)
+    return both.mapInArrow(cut, schema)
