@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,8 @@ def hot_cells(rows: DataFrame, key: str, cells: int = 1 << 14, factor: float = 4
     ``factor / cells`` of all rows. Counts combine before the shuffle.
     """
     counts = rows.groupBy(_cell(F.col(key), cells).alias("cell")).agg(F.count("*").alias("n"))
-    mean = counts.agg((F.sum("n") / cells).alias("mean"))
-    return counts.crossJoin(F.broadcast(mean)).where(F.col("n") > factor * F.greatest(F.col("mean"), F.lit(1.0))).select("cell")
+    mean = F.sum("n").over(Window.partitionBy(F.lit(0))) / cells  # over at most ``cells`` rows
+    return counts.withColumn("mean", mean).where(F.col("n") > factor * F.greatest(F.col("mean"), F.lit(1.0))).select("cell")
 
 
 def skew_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, how: str = "inner", salts: int = 32, cells: int = 1 << 14) -> DataFrame:
