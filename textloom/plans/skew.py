@@ -13,7 +13,7 @@ def _cell(key: Column, cells: int) -> Column:
 def hot_cells(rows: DataFrame, key: str, cells: int = 1 << 14, factor: float = 4.0) -> DataFrame:
     """cell: those of ``cells`` hash cells of the key that hold more than ``factor`` times the mean count of rows.
 
-    At most ``cells / factor`` rows whatever the table, so it can be broadcast; a key outside these cells has at most
+    At most ``cells / factor`` rows whatever the table, so the driver can hold them; a key outside these cells has at most
     ``factor / cells`` of all rows. Counts combine before the shuffle.
     """
     counts = rows.groupBy(_cell(F.col(key), cells).alias("cell")).agg(F.count("*").alias("n"))
@@ -26,10 +26,9 @@ def skew_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, how: st
 
     ``hot`` is what ``hot_cells`` found for rows and key with the same ``cells``. A key outside it is joined once, as usual.
     """
-    found = F.broadcast(hot.select(F.col("cell").alias("__cell"), F.lit(True).alias("__hot")))
-    own = rows.withColumn("__cell", _cell(F.col(key), cells)).join(found, "__cell", "left")
-    own = own.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__cell", "__hot")
-    other = few.withColumn("__cell", _cell(F.col(key), cells)).join(found, "__cell", "left")
-    each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    other = other.withColumn("__salt", F.explode(each)).drop("__cell", "__hot")
+    listed = [r["cell"] for r in hot.collect()]  # at most ``cells / factor`` numbers, see ``hot_cells``
+    is_hot = _cell(F.col(key), cells).isin(listed) if listed else F.lit(False)
+    own = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    other = few.withColumn("__salt", F.explode(each))
     return own.join(other, [key, "__salt"], how).drop("__salt")
