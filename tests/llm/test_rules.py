@@ -1,6 +1,9 @@
 import math
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from textloom.llm.rules import quality_rules
 
@@ -68,3 +71,24 @@ def test_long_text(spark):
     docs = [(1, " ".join(f"w{r.randrange(100000)}" for _ in range(60000)) + " p q r p q r")]
     got = quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "doc_id long")).collect()[0]
     assert got.n_words == 60006 and got.n_repeat_words == 6
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_blocks": 0}])
+def test_target_is_learnt_from_every_trusted_document(spark, options):
+    """More trusted ids than any sample took, ids of many rows, null ids, ids without a row: the ratio is that of plain counts."""
+    r = random.Random(4)
+    docs = [(i, " ".join(f"w{r.randrange(20) + (i % 2) * 10}" for _ in range(4))) for i in range(50_000)]
+    docs += [(7, "w1 w2 w25")] * 300 + [(8, "w3 w26")] * 300 + [(None, "w4 w5 w27")] * 300
+    trusted = [(i,) for i in range(0, 60_000, 2)] + [(1,), (7,), (7,), (None,)]
+    known = {i for (i,) in trusted if i is not None}
+    grams = lambda t: (w := t.split()) + list(zip(w, w[1:]))
+    raw, own = Counter(g for _, t in docs for g in grams(t)), Counter(g for i, t in docs if i in known for g in grams(t))
+    scale = own.total() / raw.total()
+    weight = {g: math.log((own[g] + 5) / (n * scale + 5)) for g, n in raw.items()}
+    llr = lambda t: sum(weight[g] for g in grams(t)) / len(grams(t))
+    buckets = 1 << 30  # no two grams share one
+    got = quality_rules(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(trusted, "doc_id long"), buckets=buckets, **options)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    mine, want = sorted(((x.doc_id, x.llr) for x in got.collect()), key=key), sorted(((i, llr(t)) for i, t in docs), key=key)
+    assert [i for i, _ in mine] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(mine, want, strict=True)) < 1e-6

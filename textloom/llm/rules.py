@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import written
+from textloom.plans.skew import hot_cells, skew_join
 
 #: What parts words: white space of ASCII; and what a word is made of.
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
@@ -57,6 +58,19 @@ def counted(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
     return sorted_.select(*plain, F.coalesce(words, F.lit(0)).cast("long").alias("n_repeat_words"), "grams")
 
 
+def marked_rows(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """``block`` and ``mask`` for the rows of held whose doc_id is in ids: bit ``row % 64`` of the mask of block ``row / 64``.
+
+    Ids alone are shuffled, those of many rows over salts; a document takes a bit, so marking texts moves none of them.
+    """
+    key = held.select("doc_id").union(ids).schema["doc_id"].dataType  # both sides are hashed, so their types must be one
+    rows = held.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast(key).alias("doc_id"), "row")
+    few = ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast(key).alias("doc_id")).distinct()
+    found = skew_join(rows, few, "doc_id", hot_cells(rows, "doc_id"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(63).cast("int"))
+    return found.groupBy(F.shiftright("row", 6).alias("block")).agg(F.bit_or(bit).alias("mask"))
+
+
 def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
@@ -64,9 +78,9 @@ def quality_rules(
     text_col: str = "text",
     buckets: int = 1 << 16,
     threshold: float = -0.1,
-    trusted_docs: int = 20_000,
     prior: float = 5.0,
     min_words: int = 50,
+    broadcast_blocks: int = 1 << 20,
 ) -> DataFrame:
     """Base counts, ``llr`` and ``kept`` for every row of docs.
 
@@ -78,16 +92,19 @@ def quality_rules(
     than half of them in repeated 3-word windows). No random choice.
 
     Texts are read once; what is stored for the two passes over grams is a small number for each word and pair.
-    The target is learnt from at most about ``trusted_docs`` trusted ids, chosen by hash; the raw counts cover all
-    documents. The table of weights has ``buckets`` rows (16 bytes each), so it is broadcast whatever the corpus.
+    The target is learnt from every document with a trusted id, the raw counts from every document; nothing is sampled.
+    Which rows are trusted is broadcast as a bit a row, up to ``broadcast_blocks`` blocks of 64 rows, counted first; beyond,
+    what is stored is shuffled by block. The table of weights has ``buckets`` rows (16 bytes each), so it is broadcast
+    whatever the corpus.
     A row for each input row; null ids and repeated rows included. A null or empty text has no words, llr 0 and fails.
     With no trusted document all weights are 0. Empty tables give an empty result; other columns are ignored.
     """
     held = written(counted(docs, buckets, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rules-grams")
-    ids = trusted.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    share = min(1.0, trusted_docs / max(1, ids.count()))
-    chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("own", F.lit(1))
-    marked = held.join(F.broadcast(chosen), "doc_id", "left").select("own", F.explode("grams").alias("bucket"))
+    masks = written(marked_rows(held, trusted.select(F.col(id_col).alias("doc_id"))), "rules-trusted")
+    placed = F.broadcast if masks.count() <= broadcast_blocks else (lambda df: df.hint("merge"))
+    own = F.when(F.getbit("mask", F.col("row").bitwiseAND(63).cast("int")) == 1, 1)
+    blocks = held.select(F.shiftright("row", 6).alias("block"), "row", "grams")
+    marked = blocks.join(placed(masks), "block", "left").select(own.alias("own"), F.explode("grams").alias("bucket"))
     counts = written(marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("own").alias("target")), "rules-counts")
     raw, target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     weight = F.log((F.col("target") + prior) / (F.col("raw") * (target / max(1, raw)) + prior)) if target else F.lit(0.0)
