@@ -60,3 +60,14 @@ def test_iso(spark):
     df = spark.sql("SELECT timestamp_ntz'2025-01-02 03:04:05' AS a, timestamp_ntz'2025-01-02 03:04:05.000120' AS b")
     r = df.select(T.iso(F.col("a")).alias("a"), T.iso(F.col("b")).alias("b")).first()
     assert (r.a, r.b) == ("2025-01-02T03:04:05", "2025-01-02T03:04:05.000120")
+
+
+def test_choice_letters_are_single_capitals(spark):
+    """One letter whatever its capital form: as SQL's upper, for all letters that have one of several letters and some others."""
+    import duckdb
+
+    letters = T.WIDE + "aéßöւᾳⅷ"
+    df = spark.createDataFrame([(c,) for c in letters], "c string")
+    got = {r.c: r.u for r in df.select("c", T.choice_letter(F.concat(F.lit("Answer: ("), "c", F.lit("x)"))).alias("u")).collect()}
+    want = {c: duckdb.execute("SELECT upper(?)", [c]).fetchone()[0] for c in letters}
+    assert got == want and got["ß"] == "ẞ" and all(len(u) == 1 for u in got.values())
