@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from textloom import queries
 from textloom.operators import joins, mixture
 
 
@@ -42,3 +43,12 @@ def test_ties_and_nulls_have_places(wide):
     rows = wide.createDataFrame([(None,), (None,), (1,), (1,), (0,)], "k long")
     assert sorted(r.pos for r in mixture.with_position(rows, "k").collect()) == [0, 1, 2, 3, 4]
     assert mixture.with_position(rows.limit(0), "k").count() == 0
+
+
+def test_ids_of_one_url_do_not_depend_on_partitions(spark, tmp_path):
+    """Pages share urls: whatever the files and the order of rows in them, ids follow url, then page_id."""
+    rows = [(i, f"u{i * 7 % 40:02d}") for i in range(400)]
+    want = {(f"web_{k}", p) for k, (_, p) in enumerate(sorted((u, p) for p, u in rows))}
+    for name, held in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(held, "page_id long, url string").repartition(3 if name == "a" else 1).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        assert {(r.id, r.page_id) for r in queries.QUERIES["numbered_ids"](spark, f"{tmp_path}/{name}").collect()} == want
