@@ -4,11 +4,12 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from textloom import queries
 from textloom.functions import text as T
-from textloom.operators import minhash, minhash_plain
+from textloom.operators import minhash, minhash_plain, mixture
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +34,17 @@ def test_normal_forms_stay_in_the_jvm(spark):
         assert "Python" not in plan(queries.QUERIES[name](spark, SF)) and "Arrow" not in plan(queries.QUERIES[name](spark, SF))
 
 
+def test_ids_leave_in_small_pieces(spark):
+    texts = ["é" * 2500, None, "", "ab"] * 300 + ["x" * 1_000_000]
+    for given in (pa.array(texts), pa.array(["before", *texts]).slice(1)):
+        parts = list(mixture.encoded(iter([given])))
+        assert [x for p in parts for x in p.to_pylist()] == [list((t or "").encode()) for t in texts]
+        assert max(len(p.flatten()) for p in parts if len(p) > 1) <= 1 << 18
+    assert [p.to_pylist() for p in mixture.encoded(iter([given]), lambda held: [[len(t)] for t in held])][-1] == [[1_000_000]]
+    df = spark.createDataFrame([("aé",), (None,)], "t string")
+    assert [x.k for x in df.select(mixture.tokenize(F.col("t")).alias("k")).collect()] == [[97, 195, 169], []]
+
+
 def test_signatures_of_texts(spark):
     r = random.Random(5)
     texts = ["", "a", "a b c d", "a b c d e", say(r, 9000), *(say(r, r.randrange(1, 60)) for _ in range(200)), None]

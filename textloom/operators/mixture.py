@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect
+from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.minhash import pieces, text_buffers
 from textloom.workspace import written
 
 
@@ -134,16 +137,30 @@ def pack_sequences(rows: DataFrame, length: int, batch: int = 64, end_id: int =
 
 
 def tokenize(text: Column, encode=None) -> Column:
-    """array<int> of a text by a plug-in that encodes a batch of strings; without one the bytes are the ids."""
+    """array<int> of a text by a plug-in that encodes a list of strings; without one the bytes are the ids."""
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        held = texts.fillna("").tolist()
-        return pd.Series(encode(held) if encode else [list(t.encode()) for t in held])
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return encoded(batches, encode)
 
     return run(text)
 
 
+def encoded(batches: Iterator[pa.Array], encode=None) -> Iterator[pa.Array]:
+    """Lists of ids for batches of texts, in pieces of a quarter of a megabyte of text.
+
+    A worker holds a batch of texts and the ids of one piece. Bytes become ids without a Python object for each.
+    """
+    for texts in batches:
+        offsets, data = text_buffers(texts)
+        for at, to in pieces(offsets):
+            if encode:
+                yield pa.array(encode(texts.slice(at, to - at).fill_null("").to_pylist()), pa.list_(pa.int32()))
+            else:
+                starts = offsets[at : to + 1] - offsets[at]
+                yield pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(data[offsets[at] : offsets[to]].astype(np.int32)))
+
+
 def skip(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return rows.orderBy(*order).offset(n)
 
