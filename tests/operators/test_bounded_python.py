@@ -1,6 +1,7 @@
 """What workers in Python hold does not follow the table: normal forms, ids and signatures."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -85,3 +86,28 @@ def test_plain_bands_make_no_rows_of_shingles(spark):
     assert {x.doc_id: x.bands for x in placed.collect()} == want
     got = {x.sig: (x.r, x.o) for x in df.select("sig", sets.alias("r"), T.ngrams(T.words(F.col("sig")), 5, short=True).alias("o")).collect()}
     assert all(list(dict.fromkeys(runs)) == o for runs, o in got.values())
+
+
+def test_runs_of_characters(spark):
+    r = random.Random(9)
+    texts = ["", "a" * 29, "a" * 30, "ab" * 40, "\U0001f600" * 45, *(say(r, r.randrange(1, 60)) for _ in range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 30):
+        assert all(x.g == list(dict.fromkeys(x.t[i : i + n] for i in range(max(1, len(x.t) - n + 1)))) for x in df.select("t", T.char_ngrams(F.col("t"), n).alias("g")).collect())
+
+    def slices(text):  # as it was: thirty elements of an array joined for each place
+        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 29), lambda i: F.array_join(F.slice(c, i, 30), "")))
+        return T.let(F.array_remove(F.split(text, ""), ""), grams)
+
+    long = spark.createDataFrame([(say(r, 8000, "abcdef"),) for _ in range(24)], "t string").repartition(4).cache()
+    long.count()
+
+    def took(f):
+        best = 9e9
+        for _ in range(3):
+            t = time.time()
+            long.select(F.size(f(F.col("t"))).alias("n")).agg(F.sum("n")).collect()
+            best = min(best, time.time() - t)
+        return best
+
+    assert took(lambda c: T.char_ngrams(c, 30)) < 0.7 * took(slices)
